@@ -6,7 +6,7 @@ import importlib
 
 from galley.plans import registry
 
-AREAS = ("corpus", "intent")
+AREAS = ("corpus", "intent", "retrieval")
 
 
 def _load() -> None:

@@ -27,9 +27,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def read_articles(spark: SparkSession, path: str, corpus_prefix: str = "corpus_") -> DataFrame:
     """``<path>/<lang>/<slug>.md``, one row per file; dot-files are skipped by Spark."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.md"
-    ).text(path)
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(
+        path, wholetext=True
+    )
     file = F.col("_metadata.file_path")
     # the file path comes percent-encoded; "+" is a plain character in it
     stem = F.url_decode(F.replace(F.regexp_extract(file, r"([^/]+)\.md$", 1), F.lit("+"), F.lit("%2B")))
@@ -44,7 +44,7 @@ def read_articles(spark: SparkSession, path: str, corpus_prefix: str = "corpus_"
 
 def read_partitioned_articles(spark: SparkSession, path: str) -> DataFrame:
     """Article files in ``corpus=/lang=/slug=`` folders, one row per file."""
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "raw")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw")
 
 
 # ---- trees ----------------------------------------------------------------
@@ -76,14 +76,9 @@ NESTED_ROOT = (
 
 
 def read_tree_assets(spark: SparkSession, path: str, corpus: str) -> DataFrame:
-    """One tree file: an object with ``structure`` or a plain list of roots.
-
-    A missing file gives no rows.
-    """
+    """Tree files: an object with ``structure`` or a plain list of roots."""
     as_object = (
-        spark.read.option("ignoreMissingFiles", True)
-        .option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(
             F.coalesce(
                 F.from_json("value", f"struct<structure:array<{NESTED_ROOT}>>")["structure"],
