@@ -173,7 +173,7 @@ def flatten(trees: DataFrame) -> DataFrame:
     own = T.present(F.col("n.source_url"))
     top = F.col("n.node_ord") == 0
     return (
-        trees.withColumn("n", F.explode(every))
+        trees.withColumn("n", F.explode_outer(every))
         .select(
             "corpus",
             "root_ord",
@@ -347,7 +347,7 @@ def chunk_records(nodes: DataFrame) -> DataFrame:
         "source_url",
         "tags",
         "published",
-        F.posexplode(V.chunk_words(T.strip(F.col("text")))).alias("chunk_index", "content"),
+        F.posexplode_outer(V.chunk_words(T.strip(F.col("text")))).alias("chunk_index", "content"),
     )
     basis = F.concat_ws(" ", "title", "content", F.array_join("tags", " "))
     return cut.withColumns(
@@ -366,7 +366,7 @@ def postings(chunks: DataFrame) -> DataFrame:
         "node_ord",
         "chunk_index",
         "id",
-        F.explode("terms").alias("t"),
+        F.explode_outer("terms").alias("t"),
     ).select(
         "corpus",
         "root_ord",

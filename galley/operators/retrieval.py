@@ -4,6 +4,10 @@ Requests come as rows with run_id, user_prompt, task_codes, sector,
 topic_keywords, language, workflow, domain_expert, k and backend. Scores come
 from a join of request terms with term postings, so only pairs that share a
 term exist; the best k per request are found before any text is fetched.
+
+Arrays are unnested with the outer generators: the plain ones make the
+optimizer infer a filter on the array, which evaluates its expression twice.
+Empty arrays give a null that the next join drops.
 """
 
 from __future__ import annotations
@@ -105,8 +109,8 @@ def _inner_texts(c: Column) -> Column:
 
 def _matching_tags(tags: DataFrame, terms: DataFrame) -> DataFrame:
     """Pairs (tag, term) where one text holds the other, by equality of substrings."""
-    in_tag = tags.select("tag", F.explode(_inner_texts(F.col("tag"))).alias("term")).join(terms, "term")
-    in_term = terms.select("term", F.explode(_inner_texts(F.col("term"))).alias("tag")).join(tags, "tag")
+    in_tag = tags.select("tag", F.explode_outer(_inner_texts(F.col("tag"))).alias("term")).join(terms, "term")
+    in_term = terms.select("term", F.explode_outer(_inner_texts(F.col("term"))).alias("tag")).join(tags, "tag")
     return in_tag.select("tag", "term").unionByName(in_term.select("tag", "term")).distinct()
 
 
@@ -122,11 +126,11 @@ def tag_filter(queries: DataFrame, roots: DataFrame) -> DataFrame:
     )
     totals = tag_lists.groupBy("corpus").agg(F.sum("n").alias("total"))
     in_lists = tag_lists.select(
-        "corpus", glue("tags").alias("tag_list"), "n", F.explode("tags").alias("tag")
+        "corpus", glue("tags").alias("tag_list"), "n", F.explode_outer("tags").alias("tag")
     ).distinct()
     keyword_lists = queries.where(F.size("tag_terms") > 0).select("tag_terms").distinct()
     in_sets = keyword_lists.select(
-        glue("tag_terms").alias("keyword_set"), F.explode("tag_terms").alias("term")
+        glue("tag_terms").alias("keyword_set"), F.explode_outer("tag_terms").alias("term")
     )
     pairs = _matching_tags(in_lists.select("tag").distinct(), in_sets.select("term").distinct())
     set_tags = in_sets.join(pairs, "term").select("keyword_set", "tag").distinct()
@@ -144,8 +148,8 @@ def routed(queries: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """One row per request and corpus; ``narrowed`` tells whether tags decide there."""
     rows = queries.select(
         "run_id", "k", "tag_terms", "query_terms", "query_text",
-        F.posexplode("corpora").alias("route_ord", "corpus"),
-    )
+        F.posexplode_outer("corpora").alias("route_ord", "corpus"),
+    ).where(F.col("corpus").isNotNull())
     if roots is None:
         return rows
     flags = tag_filter(queries, roots).select("keyword_set", "corpus", F.lit(True).alias("narrowed"))
@@ -191,7 +195,7 @@ def node_postings(nodes: DataFrame) -> DataFrame:
     fields = field_terms(*[F.col(c) for c in ("title", "tags", "prefix_summary", "summary")])
     return (
         nodes.where(F.col("text") != "")
-        .select(*PLACE, "root_tags", F.explode(fields).alias("t"))
+        .select(*PLACE, "root_tags", F.explode_outer(fields).alias("t"))
         .select(*PLACE, "root_tags", "t.term", "t.w")
     )
 
@@ -201,7 +205,7 @@ def keyword_scores(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     roots = nodes.where(F.col("node_ord") == 0).select("corpus", F.col("root_tags").alias("tags"))
     asked = routed(queries, roots).select(
         "run_id", "k", "route_ord", "corpus", "narrowed", "tag_terms",
-        F.explode("query_terms").alias("term"),
+        F.explode_outer("query_terms").alias("term"),
     )
     pairs = join_skewed(node_postings(nodes), asked, ["corpus", "term"], PLACE)
     kept = pairs.where(~F.col("narrowed") | tags_match(F.col("root_tags"), F.col("tag_terms")))
@@ -261,8 +265,8 @@ def query_vectors(queries: DataFrame) -> DataFrame:
     counted = queries.withColumn("counts", V.term_counts(T.tokens(F.col("query_text"), 3)))
     return (
         counted.withColumn("length", V.norm(F.col("counts")))
-        .select("run_id", "k", "length", "counts", F.posexplode("corpora").alias("route_ord", "corpus"))
-        .select("run_id", "k", "route_ord", "corpus", "length", F.explode("counts").alias("c"))
+        .select("run_id", "k", "length", "counts", F.posexplode_outer("corpora").alias("route_ord", "corpus"))
+        .select("run_id", "k", "route_ord", "corpus", "length", F.explode_outer("counts").alias("c"))
         .select("run_id", "k", "route_ord", "corpus", "length", "c.term", F.col("c.n").cast("bigint").alias("n"))
     )
 
@@ -363,7 +367,7 @@ def shortlist(queries: DataFrame, nodes: DataFrame, picks: DataFrame) -> DataFra
     pairs = (
         queries.select(
             "run_id", "k", "tag_terms", F.array_join("tag_terms", "\x01").alias("keyword_set"),
-            F.posexplode("corpora").alias("route_ord", "corpus"),
+            F.posexplode_outer("corpora").alias("route_ord", "corpus"),
         )
         .join(flags, ["keyword_set", "corpus"], "left")
         .join(totals, "corpus", "left")
@@ -394,7 +398,7 @@ def ranker_picks(queries: DataFrame, nodes: DataFrame, picks: DataFrame) -> Data
     Choices must be on the route and point at nodes with text; scores are held
     in 0..1; equal scores keep the order of corpora and choices.
     """
-    on_route = queries.select("run_id", "k", F.posexplode("corpora").alias("route_ord", "corpus"))
+    on_route = queries.select("run_id", "k", F.posexplode_outer("corpora").alias("route_ord", "corpus"))
     known = nodes.where(F.col("text") != "")
     scored = (
         picks.join(on_route, ["run_id", "corpus"])

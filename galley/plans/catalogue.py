@@ -6,7 +6,7 @@ import importlib
 
 from galley.plans import registry
 
-AREAS = ("corpus", "intent", "retrieval")
+AREAS = ("corpus", "intent", "retrieval", "checks")
 
 
 def _load() -> None:

@@ -211,7 +211,8 @@ def h2_sections(spark, sf):
     return (
         parsed(spark, sf)
         .select("corpus", "slug", body.alias("body"))
-        .select("corpus", "slug", F.posexplode(C.h2_sections(F.col("body"))).alias("i", "s"))
+        .select("corpus", "slug", F.posexplode_outer(C.h2_sections(F.col("body"))).alias("i", "s"))
+        .where(F.col("s").isNotNull())
         .select(
             "corpus", "slug", (F.col("i") + 1).cast("bigint").alias("section"), F.col("s.title").alias("title"),
             F.col("s.line_num").cast("bigint").alias("line_num"), F.md5("s.text").alias("text_md5"),
@@ -293,7 +294,8 @@ def tokenize(spark, sf):
 def chunk_words(spark, sf):
     return (
         nodes(spark, sf)
-        .select("corpus", "node_id", F.posexplode(V.chunk_words(T.strip(F.col("text")))).alias("i", "c"))
+        .select("corpus", "node_id", F.posexplode_outer(V.chunk_words(T.strip(F.col("text")))).alias("i", "c"))
+        .where(F.col("c").isNotNull())
         .select("corpus", "node_id", F.col("i").cast("bigint").alias("chunk_index"), F.md5("c").alias("content_md5"))
     )
 
@@ -301,7 +303,8 @@ def chunk_words(spark, sf):
 @query("term_vectors", "select id, term, weight from o_terms")
 def term_vectors(spark, sf):
     chunks = C.chunk_records(nodes(spark, sf))
-    return chunks.select("id", F.explode("terms").alias("t")).select("id", "t.term", "t.weight")
+    rows = chunks.select("id", F.explode_outer("terms").alias("t")).where(F.col("t").isNotNull())
+    return rows.select("id", "t.term", "t.weight")
 
 
 _CHUNK_OUT = """id, corpus, node_id, chunk_index::BIGINT as chunk_index, title, content, lang as language,
@@ -392,7 +395,7 @@ view(
 
 def _pages(df, kind):
     split = C.split_pages(F.col("raw"), kind, HEADER)
-    return df.select("doc_id", "lang", F.explode(split).alias("p")).select(
+    return df.select("doc_id", "lang", F.explode_outer(split).alias("p")).where(F.col("p").isNotNull()).select(
         "doc_id", F.col("p.page").cast("bigint").alias("page"), "p.title", "p.body"
     )
 
@@ -404,7 +407,7 @@ union all select doc_id, 'marked', page, title, md5(body) from o_marked""",
 )
 def src_pages(spark, sf):
     df = inputs.guides(spark, sf)
-    marked = df.select("doc_id", F.explode(C.split_marked_pages(F.col("marked"))).alias("p")).select(
+    marked = df.select("doc_id", F.explode_outer(C.split_marked_pages(F.col("marked"))).alias("p")).where(F.col("p").isNotNull()).select(
         "doc_id", F.col("p.page").cast("bigint").alias("page"), "p.title", "p.body"
     )
     both = _pages(df, "guide").withColumn("form", F.lit("guide")).unionByName(

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galley import fixed
-from galley.operators import corpus as C
 from galley.operators import intent as I
 from galley.operators import profiles as P
 from galley.operators import retrieval as R
-from galley.plans import corpus_queries, inputs
+from galley.plans import assets, inputs
 from galley.plans import intent_queries  # noqa: F401  (registers the intent views)
 from galley.plans import sqltext as Q
 from galley.plans.registry import query, view
+from galley.session import cut_lineage
 
 AVAILABLE = ("corpus_en", "corpus_nl", "schrijfwijzer", "writing_guide")
 
@@ -22,11 +22,8 @@ def selected(spark, sf):
 
 
 def queries_of(spark, sf):
-    return R.build_query(selected(spark, sf), AVAILABLE)
-
-
-def chunks_of(spark, sf):
-    return C.chunk_records(corpus_queries.nodes(spark, sf))
+    """Requests with their queries; read several times by one search, so written once."""
+    return cut_lineage(R.build_query(selected(spark, sf), AVAILABLE))
 
 
 # ---- check SQL ------------------------------------------------------------
@@ -70,7 +67,7 @@ _MATCH = (
 )
 view(
     "o_flags",
-    f"""select run_id, q.corpus, count(*) as total, count_if({_MATCH.format(terms='tag_terms', tags='root_tags')}) as matched
+    f"""select run_id, q.corpus, count(*) as total, count_if({_MATCH.format(terms='tag_terms', tags='root_tags')})::BIGINT as matched
 from o_routed q join (select corpus, root_tags from o_nodes where node_ord = 0) n on n.corpus = q.corpus
 group by all""",
 )
@@ -169,7 +166,7 @@ def route_corpora(spark, sf):
 from o_flags f join o_routed q on q.run_id = f.run_id and q.corpus = f.corpus where matched > 0 and matched < total""",
 )
 def tag_filter(spark, sf):
-    roots = corpus_queries.trees(spark, sf).select("corpus", "tags")
+    roots = assets.nodes(spark, sf).where("node_ord = 0").select("corpus", "tags")
     queries = queries_of(spark, sf)
     flags = R.tag_filter(queries, roots)
     used = queries.select(
@@ -185,14 +182,14 @@ def tag_filter(spark, sf):
     "select run_id, corpus, root_ord::BIGINT as root_ord, node_ord::BIGINT as node_ord, score from o_kw_scores",
 )
 def keyword_score(spark, sf):
-    return R.keyword_scores(queries_of(spark, sf), corpus_queries.nodes(spark, sf)).select(
+    return R.keyword_scores(queries_of(spark, sf), assets.nodes(spark, sf)).select(
         "run_id", "corpus", "root_ord", F.col("node_ord").cast("bigint").alias("node_ord"), "score"
     )
 
 
 @query("topk_keyword", _kw_out())
 def topk_keyword(spark, sf):
-    return _snippets(R.topk_keyword(queries_of(spark, sf), corpus_queries.nodes(spark, sf)))
+    return _snippets(R.topk_keyword(queries_of(spark, sf), assets.nodes(spark, sf)))
 
 
 @query("query_vector", "select run_id, term, round(n / length, 9) as weight from o_qvec")
@@ -203,9 +200,9 @@ def query_vector(spark, sf):
     )
 
 
-@query("sparse_cosine", "select run_id, id, dot, round(dot / (length * 1000000), 6) as cosine from o_dots")
+@query("sparse_cosine", "select run_id, id, dot, round(length * length)::BIGINT as squares from o_dots")
 def sparse_cosine(spark, sf):
-    return R.sparse_cosine(queries_of(spark, sf), chunks_of(spark, sf)).select(
+    return R.sparse_cosine(queries_of(spark, sf), assets.chunks(spark, sf)).select(
         "run_id",
         F.concat_ws(
             ":", "corpus",
@@ -215,13 +212,13 @@ def sparse_cosine(spark, sf):
             ),
             F.format_string("%03d", "chunk_index"),
         ).alias("id"),
-        "dot", F.round("cosine", 6).alias("cosine"),
+        "dot", F.round(F.pow(F.col("dot") / F.col("cosine") / 1_000_000, 2)).cast("bigint").alias("squares"),
     )
 
 
 @query("topk_vector", _vec_out())
 def topk_vector(spark, sf):
-    return _snippets(R.topk_vector(queries_of(spark, sf), chunks_of(spark, sf)))
+    return _snippets(R.topk_vector(queries_of(spark, sf), assets.chunks(spark, sf)))
 
 
 _RETRIEVED = f"""{_vec_out("where b.backend = 'vector_rag'")}
@@ -229,7 +226,7 @@ union all {_kw_out("where b.backend <> 'vector_rag' or b.run_id not in (select r
 
 
 def retrieved(spark, sf):
-    return R.retrieve(queries_of(spark, sf), corpus_queries.nodes(spark, sf), chunks_of(spark, sf))
+    return R.retrieve(queries_of(spark, sf), assets.nodes(spark, sf), assets.chunks(spark, sf))
 
 
 @query("retrieve", _RETRIEVED)
@@ -278,7 +275,7 @@ def picks(queries):
     "ranker_shortlist",
     f"""select q.run_id, q.corpus, case when candidates > greatest(k, least(5, 2 * k)) then coalesce(nullif(picked, 0), candidates)
     else candidates end as shortlisted,
-  not (candidates > greatest(k, least(5, 2 * k)) and picked > 0) as whole
+  not (candidates > greatest(k, least(5, 2 * k)) and coalesce(picked, 0) > 0) as whole
 from (select run_id, corpus, case when matched > 0 and matched < total then matched else total end as candidates,
     matched > 0 and matched < total as narrowed from o_flags) f
 join o_routed q on q.run_id = f.run_id and q.corpus = f.corpus
@@ -291,7 +288,7 @@ left join (select p.run_id, p.corpus, count(distinct p.node_id) as picked
 )
 def ranker_shortlist(spark, sf):
     queries = queries_of(spark, sf)
-    return R.shortlist(queries, corpus_queries.nodes(spark, sf), picks(queries)).select(
+    return R.shortlist(queries, assets.nodes(spark, sf), picks(queries)).select(
         "run_id", "corpus", "shortlisted", "whole"
     )
 
@@ -307,7 +304,7 @@ def ranker_shortlist(spark, sf):
 )
 def ranker_reconcile(spark, sf):
     queries = queries_of(spark, sf)
-    return _snippets(R.ranker_picks(queries, corpus_queries.nodes(spark, sf), picks(queries)))
+    return _snippets(R.ranker_picks(queries, assets.nodes(spark, sf), picks(queries)))
 
 
 _ABOUT = "case when prefix_summary <> '' then prefix_summary else summary end"
@@ -323,6 +320,6 @@ _SHORT = f"substr(replace({Q.strip(_ABOUT)}, chr(10), ' '), 1, 180)"
     case when {_SHORT} = '' then '' else ' - ' || {_SHORT} end as tree_line from o_nodes""",
 )
 def ranker_input(spark, sf):
-    return R.ranker_lines(corpus_queries.nodes(spark, sf)).select(
+    return R.ranker_lines(assets.nodes(spark, sf)).select(
         "corpus", "node_id", F.coalesce("article_line", F.lit("")).alias("article_line"), "tree_line"
     )
