@@ -6,7 +6,7 @@ import importlib
 
 from galley.plans import registry
 
-AREAS = ("corpus", "intent", "retrieval", "checks")
+AREAS = ("corpus", "intent", "retrieval", "checks", "evaluate")
 
 
 def _load() -> None:
