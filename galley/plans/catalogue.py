@@ -6,7 +6,7 @@ import importlib
 
 from galley.plans import registry
 
-AREAS = ("corpus", "intent", "retrieval", "checks", "evaluate")
+AREAS = ("corpus", "intent", "retrieval", "checks", "evaluate", "refine")
 
 
 def _load() -> None:
