@@ -113,3 +113,23 @@ def ordinals(df: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def running_number(df: DataFrame, by: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:
+    """Number the rows of each group from 1 in time order.
+
+    A group is numbered bucket by bucket (``bucket`` must grow with the
+    order), and the rows of earlier buckets are added, so one busy group is
+    spread over as many tasks as it has buckets.
+    """
+    cut = df.withColumn("_bucket", bucket)
+    sizes = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    local = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
+    return (
+        cut.withColumn("_local", local)
+        .join(shifts, [*by, "_bucket"])
+        .withColumn(out, F.col("_local") + F.col("_shift"))
+        .drop("_bucket", "_local", "_shift")
+    )

@@ -6,7 +6,7 @@ import importlib
 
 from galley.plans import registry
 
-AREAS = ("corpus", "intent", "retrieval", "checks", "evaluate", "refine")
+AREAS = ("corpus", "intent", "retrieval", "checks", "evaluate", "refine", "audit")
 
 
 def _load() -> None:
