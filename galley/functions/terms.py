@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from galley import fixed
 from galley.functions import text as T
 
+MILLION = 1_000_000.0
+PLACES = 2**32
+
 
 def chunk_words(
     c: Column,
@@ -39,7 +42,7 @@ def term_counts(toks: Column) -> Column:
     changes, which takes one pass where counting each token apart would take
     one pass per token.
     """
-    pairs = F.array_sort(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    pairs = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
 
     def cut(p: Column) -> Column:
         n = F.size(p)
@@ -85,11 +88,12 @@ def top_terms(toks: Column, limit: int = fixed.VECTOR_TERMS) -> Column:
 
     def scaled(counts: Column) -> Column:
         def keep(length: Column) -> Column:
-            ranked = F.array_sort(
+            ranked = F.sort_array(
                 F.transform(
                     counts,
+                    # one number orders by falling count, then by place
                     lambda c: F.struct(
-                        (-c["n"]).alias("neg"), c["pos"].alias("pos"), c["term"].alias("term")
+                        (c["pos"] - c["n"] * PLACES).alias("key"), c["n"].alias("n"), c["term"].alias("term")
                     ),
                 )
             )
@@ -97,7 +101,7 @@ def top_terms(toks: Column, limit: int = fixed.VECTOR_TERMS) -> Column:
                 F.slice(ranked, 1, limit),
                 lambda r: F.struct(
                     r["term"].alias("term"),
-                    F.round((-r["neg"]).cast("double") / length, 6).alias("weight"),
+                    (F.floor(r["n"] / length * MILLION + 0.5) / MILLION).alias("weight"),
                 ),
             )
 

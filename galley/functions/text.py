@@ -86,14 +86,20 @@ def keep_unless(c: Column, pattern: str) -> Column:
     return F.regexp_replace(c, pattern, "")
 
 
+#: Capitals outside the token alphabet whose small forms are inside it.
+STRANGE_CAPITALS = "\u0130\u0178\u1e9e\u212a\u212b"
+
+
 def tokens(c: Column, min_len: int = 3, stopwords: Iterable[str] = fixed.QUERY_STOPWORDS) -> Column:
-    """Lower-case tokens in text order, without short ones and stop words."""
-    stop = strings(stopwords)
-    found = F.transform(
-        F.filter(matches(F.coalesce(c, F.lit("")), fixed.TOKEN), lambda t: F.length(t) >= min_len),
-        F.lower,
-    )
-    return F.filter(found, lambda t: ~F.array_contains(stop, t))
+    """Lower-case tokens in text order, without short ones and stop words.
+
+    The text is lowered once instead of token by token, and the pattern holds
+    the least length; capitals that would lower into the alphabet are blanked
+    first, as they separate tokens.
+    """
+    low = F.lower(F.translate(F.coalesce(c, F.lit("")), STRANGE_CAPITALS, " " * len(STRANGE_CAPITALS)))
+    found = matches(low, f"{fixed.TOKEN[:-1]}{{{min_len},}}")
+    return F.filter(found, lambda t: ~t.isin(*stopwords))
 
 
 def token_set(c: Column, min_len: int = 3, stopwords: Iterable[str] = fixed.QUERY_STOPWORDS) -> Column:

@@ -374,5 +374,5 @@ def postings(chunks: DataFrame) -> DataFrame:
         "chunk_index",
         "id",
         F.col("t.term").alias("term"),
-        F.round(F.col("t.weight") * 1_000_000).cast("bigint").alias("weight6"),
+        F.floor(F.col("t.weight") * 1_000_000 + 0.5).alias("weight6"),
     )

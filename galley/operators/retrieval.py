@@ -89,10 +89,9 @@ def build_query(selected: DataFrame, available: Iterable[str]) -> DataFrame:
 
 
 def tags_match(tags: Column, terms: Column) -> Column:
-    """A tag holds a term or a term holds a tag."""
-    lower = F.transform(tags, F.lower)
+    """A tag holds a term or a term holds a tag; both sides in lower case."""
     return F.exists(
-        terms, lambda k: F.exists(lower, lambda t: F.contains(t, k) | F.contains(k, t))
+        terms, lambda k: F.exists(tags, lambda t: F.contains(t, k) | F.contains(k, t))
     )
 
 
@@ -195,31 +194,39 @@ def node_postings(nodes: DataFrame) -> DataFrame:
     fields = field_terms(*[F.col(c) for c in ("title", "tags", "prefix_summary", "summary")])
     return (
         nodes.where(F.col("text") != "")
-        .select(*PLACE, "root_tags", F.explode_outer(fields).alias("t"))
+        .select(*PLACE, F.transform("root_tags", F.lower).alias("root_tags"), F.explode_outer(fields).alias("t"))
         .select(*PLACE, "root_tags", "t.term", "t.w")
     )
 
 
 def keyword_scores(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(run_id, k, route_ord, place, score) of every node that shares a term."""
+    """(run_id, route_ord, root_ord, node_ord, score) of every node that shares a term.
+
+    The place of a corpus on the route stands for its name, so the sums are
+    grouped by whole numbers only.
+    """
     roots = nodes.where(F.col("node_ord") == 0).select("corpus", F.col("root_tags").alias("tags"))
     asked = routed(queries, roots).select(
-        "run_id", "k", "route_ord", "corpus", "narrowed", "tag_terms",
+        "run_id", "route_ord", "corpus", "narrowed", "tag_terms",
         F.explode_outer("query_terms").alias("term"),
     )
     pairs = join_skewed(node_postings(nodes), asked, ["corpus", "term"], PLACE)
     kept = pairs.where(~F.col("narrowed") | tags_match(F.col("root_tags"), F.col("tag_terms")))
-    return kept.groupBy("run_id", "k", "route_ord", *PLACE).agg(F.sum("w").alias("score"))
+    return kept.groupBy("run_id", "route_ord", *PLACE[1:]).agg(F.sum("w").alias("score"))
+
 
+def _routes(queries: DataFrame) -> DataFrame:
+    """(run_id, k, route_ord, corpus)."""
+    return queries.select("run_id", "k", F.posexplode_outer("corpora").alias("route_ord", "corpus"))
 
-def _best(scores: DataFrame, value: str, place: list[str]) -> DataFrame:
+
+def _best(queries: DataFrame, scores: DataFrame, value: str, place: list[str]) -> DataFrame:
     """The k best per request: higher score, then search order, then place in the corpus."""
     order = [F.desc(value), "route_ord", *place[1:]]
-    ranked = top_rows(scores, ["run_id"], order, fixed.MAX_K, "rank").where(
-        F.col("rank") <= F.col("k")
-    )
+    ranked = top_rows(scores, ["run_id"], order, fixed.MAX_K, "rank")
     top = F.max(value).over(Window.partitionBy("run_id"))
-    return ranked.withColumn("score", F.round(F.col(value) / top, 4))
+    scaled = ranked.withColumn("score", F.round(F.col(value) / top, 4))
+    return scaled.join(_routes(queries), ["run_id", "route_ord"]).where(F.col("rank") <= F.col("k"))
 
 
 def _fetch(best: DataFrame, rows: DataFrame, place: list[str], queries: DataFrame) -> DataFrame:
@@ -242,7 +249,7 @@ SNIPPET = [
 def topk_keyword(queries: DataFrame, nodes: DataFrame, best: DataFrame | None = None) -> DataFrame:
     """Snippets by weighted keyword overlap."""
     if best is None:
-        best = _best(keyword_scores(queries, nodes), "score", PLACE)
+        best = _best(queries, keyword_scores(queries, nodes), "score", PLACE)
     terms = queries.select("run_id", "query_terms")
     found = F.transform(
         field_terms(*[F.col(c) for c in ("title", "tags", "prefix_summary", "summary")]),
@@ -274,26 +281,30 @@ def query_vectors(queries: DataFrame) -> DataFrame:
 CHUNK = [*PLACE, "chunk_index"]
 
 
-def sparse_cosine(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Dot products of requests and chunks that share a term.
+def dot_products(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(run_id, route_ord, root_ord, node_ord, chunk_index, dot) of pairs that share a term.
 
     ``dot`` is the sum of count x weight in millionths, a whole number, so it
-    does not depend on the order of summation; ``cosine`` is the dot product
-    of the scaled vectors.
+    does not depend on the order of summation.
     """
-    asked = query_vectors(queries)
+    asked = query_vectors(queries).select("run_id", "route_ord", "corpus", "term", "n")
     pairs = join_skewed(C.postings(chunks), asked, ["corpus", "term"], ["id"])
-    return (
-        pairs.groupBy("run_id", "k", "route_ord", *CHUNK)
-        .agg(F.sum(F.col("n") * F.col("weight6")).alias("dot"), F.first("length").alias("length"))
-        .where(F.col("dot") > 0)
-        .withColumn("cosine", F.col("dot") / (F.col("length") * 1_000_000))
-        .drop("length")
+    sums = pairs.groupBy("run_id", "route_ord", *CHUNK[1:]).agg(
+        F.sum(F.col("n") * F.col("weight6")).alias("dot")
+    )
+    return sums.where(F.col("dot") > 0)
+
+
+def sparse_cosine(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Dot products with the cosine, the dot product of the scaled vectors."""
+    lengths = query_vectors(queries).select("run_id", "route_ord", "corpus", "length").distinct()
+    return join_small(dot_products(queries, chunks), lengths, ["run_id", "route_ord"]).withColumn(
+        "cosine", F.col("dot") / (F.col("length") * 1_000_000)
     )
 
 
 def best_vector(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    return _best(sparse_cosine(queries, chunks), "dot", CHUNK).drop("cosine")
+    return _best(queries, dot_products(queries, chunks), "dot", CHUNK)
 
 
 def topk_vector(queries: DataFrame, chunks: DataFrame, best: DataFrame | None = None) -> DataFrame:
@@ -377,7 +388,7 @@ def shortlist(queries: DataFrame, nodes: DataFrame, picks: DataFrame) -> DataFra
     usable = (
         picks.join(pairs.where("ask").select("run_id", "corpus", "tag_terms", "matched"), ["run_id", "corpus"])
         .join(roots, ["corpus", "node_id"])
-        .where(F.col("matched").isNull() | tags_match(F.col("tags"), F.col("tag_terms")))
+        .where(F.col("matched").isNull() | tags_match(F.transform("tags", F.lower), F.col("tag_terms")))
         .groupBy("run_id", "corpus", "node_id")
         .agg(F.min("ord").alias("ord"))
     )

@@ -182,7 +182,9 @@ def tag_filter(spark, sf):
     "select run_id, corpus, root_ord::BIGINT as root_ord, node_ord::BIGINT as node_ord, score from o_kw_scores",
 )
 def keyword_score(spark, sf):
-    return R.keyword_scores(queries_of(spark, sf), assets.nodes(spark, sf)).select(
+    queries = queries_of(spark, sf)
+    scores = R.keyword_scores(queries, assets.nodes(spark, sf))
+    return scores.join(R.routed(queries).select("run_id", "route_ord", "corpus"), ["run_id", "route_ord"]).select(
         "run_id", "corpus", "root_ord", F.col("node_ord").cast("bigint").alias("node_ord"), "score"
     )
 
