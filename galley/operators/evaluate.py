@@ -96,25 +96,35 @@ def _applies(kpi: dict, include_conditional: bool = False) -> Column:
             return "conditional"
         return "yes" if v.startswith("applicable") or v == "need" else "no"
 
-    ok = lambda names: [n for n in names if state(kpi["relevance"].get(n)) in allowed]
-    return F.col("origin").isin(*ok(fixed.ORIGINS)) & F.col("channel").isin(*ok(fixed.CHANNELS))
+    def among(column: str, names: Sequence[str]) -> str:
+        fit = [n for n in names if state(kpi["relevance"].get(n)) in allowed]
+        return f"{column} in ({', '.join(map(_sql, fit))})" if fit else "false"
+
+    return F.expr(f"{among('origin', fixed.ORIGINS)} and {among('channel', fixed.CHANNELS)}")
+
+
+def _sql(v) -> str:
+    """A constant as SQL text."""
+    if v is None:
+        return "null"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(v).lower()
 
 
 def _row(kpi: dict, tier: int, value, passed, reason, source, indicator=None, raw=None) -> Column:
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        *[
-            lit(v).alias(n)
-            for n, v in (
-                ("kpi_id", kpi["id"]), ("name", kpi["name"]), ("cluster", kpi["cluster_short"]),
-                ("category", kpi["category"]), ("weight", kpi["weight"]),
-                ("monitoring", kpi["monitoring"]),
-                ("indicator", kpi["indicator"] if indicator is None else indicator),
-                ("value", value), ("raw_metric", raw), ("reason", reason), ("tier", tier),
-                ("passed", passed), ("source", source),
-            )
-        ]
-    ).cast(RESULT)
+    fields = {
+        "kpi_id": kpi["id"], "name": kpi["name"], "cluster": kpi["cluster_short"], "category": kpi["category"],
+        "weight": kpi["weight"], "monitoring": kpi["monitoring"],
+        "indicator": kpi["indicator"] if indicator is None else indicator, "value": value, "raw_metric": raw,
+        "reason": reason, "tier": tier, "passed": passed, "source": source,
+    }
+    if not any(isinstance(v, Column) for v in fields.values()):
+        return F.expr(
+            "named_struct(" + ", ".join(f"{_sql(n)}, {_sql(v)}" for n, v in fields.items()) + ")"
+        ).cast(RESULT)
+    lit = lambda v: v if isinstance(v, Column) else F.expr(_sql(v))
+    return F.struct(*[lit(v).alias(n) for n, v in fields.items()]).cast(RESULT)
 
 
 def _some(rows: list[Column]) -> Column:

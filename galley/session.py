@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites in error texts cost several round trips per column function
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
