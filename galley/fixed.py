@@ -149,6 +149,11 @@ GUIDE_CORPORA = {
 # Weights of the keyword score.
 TITLE_WEIGHT, TAG_WEIGHT, SUMMARY_WEIGHT = 4, 2, 1
 
+# How a search was done, as its summary says it.
+VECTOR_NOTE = "Sparse vector cosine over generated JSONL chunk assets."
+FALLBACK_NOTE = "Vector assets returned no snippets; PageIndex keyword fallback used."
+KEYWORD_NOTE = "Keyword and tag overlap over cached PageIndex assets."
+
 # Keyword overlap below which a refined request counts as a new topic.
 PIVOT_OVERLAP = 0.5
 

@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.operators.scale import join_small, top_rows
+from galley.operators.scale import join_skewed, top_rows
 
 
 def aging_scan(articles: DataFrame, as_of: dt.date, threshold_days: int = 365) -> DataFrame:
@@ -63,5 +63,5 @@ def corpus_examples(articles: DataFrame, topics: DataFrame, n: int = 3) -> DataF
         F.explode_outer(F.array_distinct(F.transform("tags", F.lower))).alias("topic"),
     )
     asked = topics.select(F.lower("topic").alias("topic")).distinct()
-    hits = join_small(tagged, asked, ["topic"])
+    hits = join_skewed(tagged, asked, ["topic"], ["slug"])
     return top_rows(hits, ["topic"], [F.desc("published"), F.col("slug").asc()], n, "rank")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from galley import fixed
 from galley.functions import text as T
+from galley.operators.scale import join_skewed
 
 FIELDS = [
     "source_doc", "node_id", "title", "article_title", "content", "line_num", "score", "reason", "source_url",
@@ -222,13 +223,12 @@ def judging_table(runs: DataFrame, kpis: DataFrame, rubrics: dict[str, str] | No
     ``kpis`` is an applicability table (origin, channel, id and norms).
     """
     from galley.operators.evaluate import channel_norm
-    from galley.operators.scale import join_small
 
     rows = kpis.where(F.col("id").isin(*[k for _, k, _ in fixed.JUDGES]))
     case_rubric = F.create_map(*[F.lit(x) for r, k, _ in fixed.JUDGES for x in (k, r)])
     case_values = F.create_map(*[F.lit(x) for _, k, s in fixed.JUDGES for x in (k, allowed_values(s))])
     texts = rubrics or {}
-    pairs = join_small(runs, rows, ["origin", "channel"], rows=100_000).withColumn(
+    pairs = join_skewed(runs, rows, ["origin", "channel"], ["run_id"], rows=100_000).withColumn(
         "rubric", F.element_at(case_rubric, F.col("id"))
     )
     wording = F.concat(

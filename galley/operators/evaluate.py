@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from galley import fixed
 from galley.functions import text as T
 from galley.operators import checks
-from galley.operators.scale import join_small
+from galley.operators.scale import join_skewed
 
 RESULT = (
     "struct<kpi_id:string,name:string,cluster:string,category:string,weight:string,monitoring:string,"
@@ -63,7 +63,9 @@ def applicability(kpis: DataFrame, include_conditional: bool = False) -> DataFra
 
 def applicable_kpis(drafts: DataFrame, kpis: DataFrame, include_conditional: bool = False) -> DataFrame:
     """One row per draft and applicable KPI."""
-    return join_small(drafts, applicability(kpis, include_conditional), ["origin", "channel"], rows=100_000)
+    return join_skewed(
+        drafts, applicability(kpis, include_conditional), ["origin", "channel"], ["run_id"], rows=100_000
+    )
 
 
 def channel_norm(channel: Column) -> Column:

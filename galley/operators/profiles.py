@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from galley import fixed
 from galley.functions import text as T
+from galley.operators.scale import join_small
 
 BUNDLE = "array<struct<id:string,name:string,category:string,reason:string>>"
 
@@ -158,14 +159,13 @@ def judge_changes(catalogue: DataFrame, changes: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(F.min("change_id").alias("first_change"))
     )
-    have = catalogue.select(F.col("id").alias("have_id"), F.col("category").alias("have_category"))
+    have = catalogue.select(F.col("id").alias("_key"), F.col("category").alias("have_category"))
     key = F.when(F.col("op") == "create", F.col("id")).otherwise(F.col("target_id"))
-    joined = (
-        created.withColumn("_key", key)
-        .join(have, F.col("_key") == F.col("have_id"), "left")
-        .join(first, "id", "left")
+    # many changes may name one id, so the change feed stays put when the other sides are small
+    joined = join_small(
+        join_small(created.withColumn("_key", key), have, ["_key"], "left"), first, ["id"], "left"
     )
-    known = F.col("have_id").isNotNull()
+    known = F.col("have_category").isNotNull()
     same_place = F.coalesce(F.col("have_category") == F.col("target_category"), F.lit(False))
     outcome = (
         F.when(~F.col("valid"), "invalid")
@@ -181,7 +181,7 @@ def judge_changes(catalogue: DataFrame, changes: DataFrame) -> DataFrame:
         .when(same_place, "applied")
         .otherwise("not_found")
     )
-    return joined.withColumn("outcome", outcome).drop("_key", "have_id", "have_category", "first_change", "valid")
+    return joined.withColumn("outcome", outcome).drop("_key", "have_category", "first_change", "valid")
 
 
 def apply_changes(catalogue: DataFrame, judged: DataFrame) -> DataFrame:

@@ -321,11 +321,6 @@ def topk_vector(queries: DataFrame, chunks: DataFrame, best: DataFrame | None =
     )
 
 
-VECTOR_NOTE = "Sparse vector cosine over generated JSONL chunk assets."
-FALLBACK_NOTE = "Vector assets returned no snippets; PageIndex keyword fallback used."
-KEYWORD_NOTE = "Keyword and tag overlap over cached PageIndex assets."
-
-
 def retrieve(queries: DataFrame, nodes: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Snippets and one summary row per request.
 
@@ -339,9 +334,9 @@ def retrieve(queries: DataFrame, nodes: DataFrame, chunks: DataFrame) -> tuple[D
     snippets = topk_vector(by_vector, chunks, best).unionByName(topk_keyword(rest, nodes))
     counts = snippets.groupBy("run_id").agg(F.count(F.lit(1)).alias("snippet_count"))
     reasoning = (
-        F.when(F.col("backend") != "vector_rag", KEYWORD_NOTE)
-        .when(F.col("hit"), VECTOR_NOTE)
-        .otherwise(FALLBACK_NOTE)
+        F.when(F.col("backend") != "vector_rag", fixed.KEYWORD_NOTE)
+        .when(F.col("hit"), fixed.VECTOR_NOTE)
+        .otherwise(fixed.FALLBACK_NOTE)
     )
     summary = (
         queries.join(hit.withColumn("hit", F.lit(True)), "run_id", "left")

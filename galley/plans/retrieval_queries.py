@@ -239,8 +239,8 @@ def retrieve(spark, sf):
 @query(
     "retrieve_summary",
     f"""select q.run_id, backend as provider, array_to_string(corpora, ',') as corpora, count(s.rank) as snippet_count,
-  case when backend <> 'vector_rag' then '{R.KEYWORD_NOTE}'
-    when q.run_id in (select run_id from o_vec_best) then '{R.VECTOR_NOTE}' else '{R.FALLBACK_NOTE}' end as reasoning
+  case when backend <> 'vector_rag' then '{fixed.KEYWORD_NOTE}'
+    when q.run_id in (select run_id from o_vec_best) then '{fixed.VECTOR_NOTE}' else '{fixed.FALLBACK_NOTE}' end as reasoning
 from o_query q left join ({_RETRIEVED}) s on s.run_id = q.run_id group by all""",
 )
 def retrieve_summary(spark, sf):
