@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +11,12 @@ from pyspark.sql import types as S
 from galley import fixed
 from galley.functions import text as T
 from galley.operators.corpus import NODE
+from galley.session import shared_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster; a local one only without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix=f"galley-{name}-") + "/data"
-    return f"{base.rstrip('/')}/galley-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder of the cluster."""
+    return f"{shared_folder(spark)}/galley-{name}-{uuid.uuid4().hex}"
 
 
 # ---- articles -------------------------------------------------------------
