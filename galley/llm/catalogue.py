@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import packing, warc
+from galley.llm import multiset_hash, packing, rule_ensemble, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_query,
     "op4_warc": warc.op4_query,
+    "op6_fingerprints": multiset_hash.op6_query,
+    "op8_quality": rule_ensemble.op8_query,
+    "op9_secrets": secret_scan.op9_query,
 }
 ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL}
 
