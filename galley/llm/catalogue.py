@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import multiset_hash, packing, rule_ensemble, secret_scan, warc
+from galley.llm import multiset_hash, ngram_join, packing, rule_ensemble, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_query,
@@ -14,8 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": multiset_hash.op6_query,
     "op8_quality": rule_ensemble.op8_query,
     "op9_secrets": secret_scan.op9_query,
+    "op10_ngram_join": ngram_join.op10_query,
 }
-ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL}
+ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
