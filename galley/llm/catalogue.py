@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import multiset_hash, ngram_join, packing, rule_ensemble, secret_scan, warc
+from galley.llm import multiset_hash, ngram_join, packing, prefix_forest, rule_ensemble, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_query,
+    "op3_nearest": prefix_forest.op3_query,
     "op4_warc": warc.op4_query,
     "op6_fingerprints": multiset_hash.op6_query,
     "op8_quality": rule_ensemble.op8_query,
