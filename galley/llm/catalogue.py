@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from galley.llm import multiset_hash, ngram_join, packing, prefix_forest, rule_ensemble, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": rule_ensemble.op8_query,
     "op9_secrets": secret_scan.op9_query,
     "op10_ngram_join": ngram_join.op10_query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
 

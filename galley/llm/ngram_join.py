@@ -392,6 +392,27 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each component, that of the smallest id.
+
+    Documents without n-grams stay, and so do rows with a null id, as no
+    decision can be carried to them. Rows that repeat an id are one document:
+    if it stays, the smallest of its rows is kept.
+    """
+    rows = similarity_components(docs).where("doc_id is not null")
+    leaves = F.col("node").isNotNull() & (F.col("component_id") != F.col("doc_id"))
+    by_id = rows.groupBy("doc_id").agg(F.min(leaves).alias("_leaves"), (F.count(F.lit(1)) > 1).alias("_repeats"))
+    marked = cut_lineage(by_id.where("_leaves or _repeats"))
+    other = marked.withColumnRenamed("doc_id", "_id")
+    if fits(other, BROADCAST_IDS):
+        other = F.broadcast(other)
+    kept = docs.join(other, F.col("doc_id") == F.col("_id"), "left").where(~F.coalesce(F.col("_leaves"), F.lit(False)))
+    repeats = F.coalesce(F.col("_repeats"), F.lit(False))
+    rest = [c for c in docs.columns if c != "doc_id"]
+    first = kept.where(repeats).groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in rest if c != "text"])).alias("_row"))
+    return kept.where(~repeats).select(*docs.columns).unionByName(first.select("doc_id", "_row.*"))
+
+
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
