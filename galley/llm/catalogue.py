@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from galley.llm import multiset_hash, ngram_join, packing, prefix_forest, rule_ensemble, secret_scan, shared_prefix, url_filter, warc
+from galley.llm import license_scan, multiset_hash, ngram_join, packing, prefix_forest, rule_ensemble, secret_scan, shared_prefix, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": warc.op4_query,
     "op5_sentencepiece": shared_prefix.op5_query,
     "op6_fingerprints": multiset_hash.op6_query,
+    "op7_licences": license_scan.op7_query,
     "op8_quality": rule_ensemble.op8_query,
     "op9_secrets": secret_scan.op9_query,
     "op10_ngram_join": ngram_join.op10_query,
