@@ -50,8 +50,8 @@ SCHEMA = "query_id bigint, vec_id bigint, score double"
 class Forest:
     """Sorted hash strings of some vectors: one array per tree, laid end to end."""
 
-    def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS):
-        self.vectors, self.trees, self.bits = vectors, trees, bits
+    def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS, single: bool = True):
+        self.vectors, self.trees, self.bits, self.single = vectors, trees, bits, single
         self.planes = np.random.default_rng(SEED).standard_normal((vectors.shape[1], trees * bits))
         self.centre = vectors.mean(axis=0)
         self.squares = (vectors * vectors).sum(axis=1)
@@ -98,7 +98,7 @@ def nearest(forest: Forest, ids: np.ndarray, query: np.ndarray, query_id: int, c
     """The k nearest candidates: (ids, distances), ties to smaller ids."""
     found = forest.candidates(code, least)
     found = found[ids[found] != query_id]
-    if len(found) > 4 * k:
+    if forest.single and len(found) > 4 * k:
         # all that may be among the nearest by a product that rounds otherwise; exact distances follow
         near = forest.squares[found] - 2.0 * (forest.vectors[found] @ query)
         bound = np.partition(near, k - 1)[k - 1]
@@ -106,8 +106,10 @@ def nearest(forest: Forest, ids: np.ndarray, query: np.ndarray, query_id: int, c
         found = found[near <= bound + slack]
     gap = forest.vectors[found] - query
     distance = np.sqrt((gap * gap).sum(axis=1))
-    best = np.lexsort((ids[found], distance))[:k]
-    return ids[found][best], distance[best]
+    best = np.lexsort((ids[found], distance))
+    if not forest.single:  # an id may have several vectors: its nearest counts
+        best = best[np.sort(np.unique(ids[found][best], return_index=True)[1])]
+    return ids[found][best[:k]], distance[best[:k]]
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -140,7 +142,7 @@ def search(
         width = len(left["vector"][0])
         ids, vectors = left["vec_id"].to_numpy(), _matrix(left["vector"], width)
         query_ids, asked = right["query_id"].to_numpy(), _matrix(right["vector"], width)
-        forest = Forest(vectors, trees, bits)
+        forest = Forest(vectors, trees, bits, single=len(np.unique(ids)) == len(ids))
         least = max(k + 1, int(np.ceil(share * len(ids))))
         out = [
             (np.full(len(found), q), found, distance)

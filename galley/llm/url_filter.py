@@ -50,6 +50,8 @@ SEED_SHARE = 1e-5
 #: Words of the unigram model: letters, and times they must be seen.
 SHORTEST_WORD, LONGEST_WORD, SEEN = 2, 24, 2
 LONGEST_NAME = 64
+#: Weight of the prior of each class, in words: words are expected as often as they are overall.
+PRIOR_WORDS = 10.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MILLION = 1_000_000
 
@@ -160,11 +162,12 @@ def word_weights(tokens: DataFrame) -> tuple[DataFrame, int]:
         .agg(F.sum("block").alias("b"), F.count(F.lit(1)).alias("n"))
     )
     counted = cut_lineage(counted)
-    t = counted.agg(
-        F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("words")
-    ).first()
-    base = math.log((t["b"] + t["words"] + 1) / (t["n"] - t["b"] + t["words"] + 1))
-    odds = F.log((F.col("b") + 1.0) / (F.col("n") - F.col("b") + 1.0)) - F.lit(base)
+    t = counted.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    expected = F.col("n") * PRIOR_WORDS / F.lit(float(max(t["n"], 1)))
+    odds = (
+        F.log(F.col("b") + expected) - F.log(F.col("n") - F.col("b") + expected)
+        - F.lit(math.log(t["b"] + PRIOR_WORDS) - math.log(t["n"] - t["b"] + PRIOR_WORDS))
+    )
     prior = math.log((sizes["b"] + 1) / (sizes["n"] - sizes["b"] + 1))
     return counted.select("word", F.round(odds * MILLION).cast("bigint").alias("score")), round(prior * MILLION)
 
