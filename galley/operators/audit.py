@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from galley.functions import text as T
 from galley.operators.scale import running_number, union_all
 
-KEPT_RUNS = 32
-
 
 def _json(c: Column) -> Column:
     return F.to_json(c, {"ignoreNullFields": "false"})
@@ -168,12 +166,12 @@ def is_complete(payload: Column, stage: Column) -> Column:
     return F.coalesce(T.let(F.try_parse_json(payload), judge), F.lit(False))
 
 
-def latest_stage(payloads: DataFrame, kept_runs: int = KEPT_RUNS) -> DataFrame:
+def latest_stage(payloads: DataFrame, kept_runs: int | None = None) -> DataFrame:
     """Payload in force per run and stage: the last complete one, else the last one.
 
-    Only the most recently started runs are kept. Rows hold run_id, stage,
-    seq (time order) and payload; the aggregates are partial, so a run with
-    very many rows is reduced where its rows lie.
+    All runs are kept, or the ``kept_runs`` most recently started ones. Rows
+    hold run_id, stage, seq (time order) and payload; the aggregates are
+    partial, so a run with very many rows is reduced where its rows lie.
     """
     bare = payloads.withColumn("payload", unwrap(F.col("payload"), F.col("stage")))
     judged = bare.withColumn("complete", is_complete(F.col("payload"), F.col("stage")))
@@ -182,15 +180,18 @@ def latest_stage(payloads: DataFrame, kept_runs: int = KEPT_RUNS) -> DataFrame:
         F.max_by("payload", "seq").alias("last"),
         F.bool_or("complete").alias("complete"),
     )
+    shown = last.select(
+        "run_id", "stage", F.when(F.col("complete"), F.col("whole")).otherwise(F.col("last")).alias("payload"),
+        "complete",
+    )
+    if kept_runs is None:
+        return shown
     started = (
         payloads.groupBy("run_id").agg(F.min("seq").alias("start"))
         .orderBy(F.desc("start"), "run_id").limit(kept_runs).select("run_id")
     )
     # at most kept_runs rows
-    return last.join(F.broadcast(started), "run_id", "left_semi").select(
-        "run_id", "stage", F.when(F.col("complete"), F.col("whole")).otherwise(F.col("last")).alias("payload"),
-        "complete",
-    )
+    return shown.join(F.broadcast(started), "run_id", "left_semi")
 
 
 # ---- tool events ----------------------------------------------------------

@@ -306,7 +306,7 @@ def approved_source() -> Column:
 
 
 def citation_markers() -> Column:
-    n = F.size("snippets")
+    n = F.coalesce(F.size("snippets"), F.lit(0))
     found = F.array_sort(
         F.array_distinct(
             F.transform(T.matches(F.col("body"), r"\[(\d+)\]", 1), lambda d: d.try_cast("decimal(38,0)"))

@@ -87,17 +87,12 @@ def summary(c: Column, limit: int = fixed.SUMMARY_CHARS) -> Column:
 def h2_sections(body: Column) -> Column:
     """array<struct<title, text, line_num>> of the second-level sections."""
     head = rf"##{fixed.SPACE}+[^\n]"
+    # lines up to the end of each part, so each part is counted once
     numbered = T.let(
-        F.split(body, rf"(?md)(?=^{head})"),
-        lambda parts: F.transform(
-            parts,
-            lambda p, i: F.struct(
-                p.alias("text"),
-                (
-                    F.lit(1)
-                    + F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, q: a + T.newlines(q))
-                ).alias("line_num"),
-            ),
+        F.transform(F.split(body, rf"(?md)(?=^{head})"), lambda p: F.struct(p.alias("text"), T.newlines(p).alias("n"))),
+        lambda parts: F.zip_with(
+            parts, T.running_sum(F.transform(parts, lambda p: p["n"])),
+            lambda p, until: F.struct(p["text"].alias("text"), (until - p["n"] + 1).alias("line_num")),
         ),
     )
     return F.transform(

@@ -95,21 +95,34 @@ def tags_match(tags: Column, terms: Column) -> Column:
     )
 
 
-def _inner_texts(c: Column) -> Column:
-    """All substrings of a text, with the empty one."""
+def _inner_texts(c: Column, lengths: Column) -> Column:
+    """The substrings of a text that have one of the lengths."""
     size = F.length(c)
     cuts = F.transform(
-        F.sequence(F.lit(1), size),
-        lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substr(c, at, n)),
+        F.filter(lengths, lambda n: n <= size),
+        lambda n: F.when(n == 0, T.strings([""])).otherwise(
+            F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substr(c, at, n))
+        ),
     )
-    some = F.array_distinct(F.flatten(cuts))
-    return F.when(size == 0, T.strings([""])).otherwise(F.array_append(some, F.lit("")))
+    return F.array_distinct(F.flatten(cuts))
 
 
 def _matching_tags(tags: DataFrame, terms: DataFrame) -> DataFrame:
-    """Pairs (tag, term) where one text holds the other, by equality of substrings."""
-    in_tag = tags.select("tag", F.explode_outer(_inner_texts(F.col("tag"))).alias("term")).join(terms, "term")
-    in_term = terms.select("term", F.explode_outer(_inner_texts(F.col("term"))).alias("tag")).join(tags, "tag")
+    """Pairs (tag, term) where one text holds the other, by equality of substrings.
+
+    Only substrings as long as a text of the other side are made. What reaches
+    the driver are the different lengths of a side, a few numbers.
+    """
+    def lengths(df: DataFrame, c: str) -> Column:
+        seen = df.agg(F.collect_set(F.length(c))).first()[0]
+        return F.array(*map(F.lit, sorted(seen))).cast("array<int>")
+
+    in_tag = tags.select(
+        "tag", F.explode_outer(_inner_texts(F.col("tag"), lengths(terms, "term"))).alias("term")
+    ).join(terms, "term")
+    in_term = terms.select(
+        "term", F.explode_outer(_inner_texts(F.col("term"), lengths(tags, "tag"))).alias("tag")
+    ).join(tags, "tag")
     return in_tag.select("tag", "term").unionByName(in_term.select("tag", "term")).distinct()
 
 
@@ -215,9 +228,20 @@ def keyword_scores(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     return kept.groupBy("run_id", "route_ord", *PLACE[1:]).agg(F.sum("w").alias("score"))
 
 
+def has_valid_k() -> Column:
+    """Requests may ask for 1 to MAX_K snippets."""
+    return F.coalesce(F.col("k").between(1, fixed.MAX_K), F.lit(False))
+
+
+def rejected_requests(queries: DataFrame) -> DataFrame:
+    """(run_id, k, reason) of requests that are not searched."""
+    reason = F.when(F.col("k").isNull(), "k is missing").otherwise(F.lit(f"k is not in 1..{fixed.MAX_K}"))
+    return queries.where(~has_valid_k()).select("run_id", "k", reason.alias("reason"))
+
+
 def _routes(queries: DataFrame) -> DataFrame:
-    """(run_id, k, route_ord, corpus)."""
-    return queries.select("run_id", "k", F.posexplode_outer("corpora").alias("route_ord", "corpus"))
+    """(run_id, k, route_ord, corpus) of the requests that are searched."""
+    return queries.where(has_valid_k()).select("run_id", "k", F.posexplode_outer("corpora").alias("route_ord", "corpus"))
 
 
 def _best(queries: DataFrame, scores: DataFrame, value: str, place: list[str]) -> DataFrame:
@@ -326,6 +350,7 @@ def retrieve(queries: DataFrame, nodes: DataFrame, chunks: DataFrame) -> tuple[D
 
     Requests for vectors that find nothing, and all others, go by keywords.
     """
+    queries = queries.where(has_valid_k())
     by_vector = queries.where(F.col("backend") == "vector_rag")
     # a few rows per request, read three times below
     best = cut_lineage(best_vector(by_vector, chunks))

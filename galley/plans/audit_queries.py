@@ -107,6 +107,11 @@ _GAVE = (
     "workflow=1, experts=0", "done=True, questions=0, needs_re_retrieval=False", "body_chars=3, citations=1",
     "passed=False, blocking=1, tier3=0", "tasks=[''T1_DRAFT''], language=None", "status, version",
 )
+#: What an output without its call shows: the tool is not known, so the keys of the result.
+_ALONE = (
+    "retrieval", "evaluation, refinement, run_id, status", "profiles", "done, needs_re_retrieval, questions",
+    "body, citations", "dclp_steps_required, failed_blocking, passed", "language, task_codes", "status, version",
+)
 _PAIR = "cast(floor(event_id / 2) as bigint)"
 
 
@@ -132,6 +137,7 @@ inputs.as_view(
     {
         **TOOLS,
         "line": f"case when event_id % 2 = 0 then {_by_tool(_CALLED)} when event_id % 5 = 4 then 'failed: boom ' || event_id else {_by_tool(_GAVE)} end",
+        "alone": f"case when event_id % 5 = 4 then 'failed: boom ' || event_id else {_by_tool(_ALONE)} end",
         "named": f"{_by_tool(_TOOLS)}",
     },
     _KEPT,
@@ -205,7 +211,7 @@ def audit_unknown(spark, sf):
 @query(
     "latest_stage",
     """select run_id, stage, coalesce(max_by(bare, seq) filter (where seq % 4 in (0, 2)), max_by(bare, seq)) as payload, bool_or(seq % 4 in (0, 2)) as complete
-from payloads_in where run_id in (select run_id from payloads_in group by 1 order by min(seq) desc, run_id limit 32) group by all""",
+from payloads_in group by all""",
 )
 def latest_stage(spark, sf):
     return A.latest_stage(inputs.select(spread(table(spark, sf, "events")), PAYLOADS))
@@ -226,7 +232,7 @@ def tool_pairing(spark, sf):
     return A.pair_tools(tools(spark, sf)).select("run_id", "call_id", "kind", "tool_name", "label", "status")
 
 
-@query("event_summaries", "select call_id, kind, line as summary from o_tools where kind = 'call' or (seq - 1) % 10 <> 0")
+@query("event_summaries", "select call_id, kind, case when kind = 'call' or (seq - 1) % 10 <> 0 then line else alone end as summary from o_tools")
 def event_summaries(spark, sf):
     settings = {
         "k": F.lit(5), "backend": F.lit("pageindex"), "channel": F.lit("web"), "origin": F.lit("instant"),
@@ -235,7 +241,7 @@ def event_summaries(spark, sf):
     rows = A.pair_tools(tools(spark, sf)).withColumns(settings)
     tool, payload = F.col("tool_name"), F.col("payload")
     line = F.when(F.col("kind") == "call", A.call_summary(tool, payload)).otherwise(A.output_summary(tool, payload))
-    return rows.where("kind = 'call' or (seq - 1) % 10 <> 0").select("call_id", "kind", line.alias("summary"))
+    return rows.select("call_id", "kind", line.alias("summary"))
 
 
 @query(

@@ -345,7 +345,7 @@ CHANGES = {
     "category": "case when doc_id % 5 = 4 then 'other' when doc_id % 4 < 2 then 'workflow' else 'domain_expert' end",
     "id": "case when doc_id % 7 = 6 then 'Bad-Id' when doc_id % 3 = 0 then ' new_' || (doc_id % 300) || ' ' else 'profile_' || (doc_id % 400 + case when doc_id % 11 = 0 then 1 else 0 end) end",
     "name": "case when doc_id % 13 = 0 then ' ' else 'Name ' || doc_id end",
-    "description": "substr(text, 1, 2100)",
+    "description": "text",
     "word": "case when doc_id % 2 = 0 then ' ' else ' cloud ' end",
 }
 inputs.as_view("catalogue_in", "documents", CATALOGUE, "doc_id % 4 <> 3")

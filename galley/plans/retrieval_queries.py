@@ -189,6 +189,17 @@ def keyword_score(spark, sf):
     )
 
 
+@query(
+    "rejected_requests",
+    """select item_id as run_id, k, 'k is not in 1..20' as reason
+from (select item_id, cast(item_id % 30 - 3 as int) as k from benchmark) where k < 1 or k > 20""",
+)
+def rejected_requests(spark, sf):
+    """Requests that ask for none or too many snippets."""
+    asked = inputs.table(spark, sf, "benchmark").select(F.col("item_id").alias("run_id"), (F.col("item_id") % 30 - 3).cast("int").alias("k"))
+    return R.rejected_requests(asked)
+
+
 @query("topk_keyword", _kw_out())
 def topk_keyword(spark, sf):
     return _snippets(R.topk_keyword(queries_of(spark, sf), assets.nodes(spark, sf)))

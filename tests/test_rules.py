@@ -21,7 +21,7 @@ SNIPS = "array<struct<source_doc:string,node_id:string,exclude_for_genai:boolean
 def draft(spark, body, *, language="en", keywords=("agentic ai",), channel="web", cited=2, snips=2, barred=False, origin="instant", strict=False):
     row = (
         1, body, [(i, "corpus_en", f"n{i}") for i in range(1, cited + 1)],
-        [("corpus_en", f"n{i}", barred) for i in range(1, snips + 1)],
+        None if snips is None else [("corpus_en", f"n{i}", barred) for i in range(1, snips + 1)],
         language, None if keywords is None else list(keywords), channel, origin, strict,
     )
     return spark.createDataFrame(
@@ -61,6 +61,8 @@ def check(spark, fn, body, **kw):
         (K.approved_source, "x", False, "exclusion", {"barred": True}),
         (K.approved_source, "x", True, "no_exclusion", {"cited": 0}),
         (K.citation_markers, "see [1] and [2]", True, "none", {}),
+        (K.citation_markers, "See [9].", False, "several", {"snips": None}),
+        (K.citation_markers, "no marker", True, "none", {"snips": None}),
         (K.citation_markers, "see [3] and [12345678901234567890123]", False, "several", {}),
         (K.output_language, "de klanten van het bedrijf", True, "nl", {"language": "nl"}),
         (K.output_language, "the and for you", False, "en", {"language": "nl"}),

@@ -86,3 +86,45 @@ def test_spread_leaves_wide_inputs_alone(spark):
     wide = spark.range(0, 100, 1, 64)
     assert scale.spread(wide) is wide
     assert scale.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_many_sections_and_long_tags_stay_fast(spark):
+    import time
+
+    from galley.operators import corpus as C
+    from galley.operators import retrieval as R
+
+    body = "".join(f"## Part {i}\nline\n\nline {i}\n" for i in range(8000))
+    df = spark.createDataFrame([(body,)], "body string")
+    C_warm = df.select(C.h2_sections(F.substring("body", 1, 100)).alias("s")).collect()
+    assert len(C_warm[0].s) > 1
+    start = time.time()
+    rows = df.select(C.h2_sections(F.col("body")).alias("s")).collect()[0].s
+    assert time.time() - start < 8  # a quadratic scan takes 48 s
+    assert len(rows) == 8000 and [r.line_num for r in rows] == [1 + 4 * i for i in range(8000)]
+
+    tags = spark.createDataFrame([("x" * 9990 + "cloud", ), ("ai",), ("",)], "tag string")
+    terms = spark.createDataFrame([("cloud",), ("the ai act",), ("zz",)], "term string")
+    R._matching_tags(tags.limit(1), terms.limit(1)).collect()
+    start = time.time()
+    pairs = {(r.tag[-5:], r.term) for r in R._matching_tags(tags, terms).collect()}
+    assert time.time() - start < 8
+    assert pairs == {("cloud", "cloud"), ("ai", "the ai act"), ("", "cloud"), ("", "the ai act"), ("", "zz")}
+
+
+def test_requests_for_too_many_snippets_are_rejected(spark):
+    from galley.operators import retrieval as R
+
+    asked = spark.createDataFrame([(1, 5), (2, 25), (3, 0), (4, None), (5, 20)], "run_id int, k int")
+    assert {r.run_id for r in R.rejected_requests(asked).collect()} == {2, 3, 4}
+    assert {r.run_id for r in asked.where(R.has_valid_k()).collect()} == {1, 5}
+
+
+def test_all_runs_keep_their_latest_stage(spark):
+    from galley.operators import audit as A
+
+    rows = [(f"run_{i % 100}", "content", i, '{"body":"b%d"}' % i) for i in range(300)]
+    df = spark.createDataFrame(rows, "run_id string, stage string, seq int, payload string")
+    got = {r.run_id: r.payload for r in A.latest_stage(df).collect()}
+    assert len(got) == 100 and got["run_7"] == '{"body":"b207"}'
+    assert A.latest_stage(df, kept_runs=3).count() == 3

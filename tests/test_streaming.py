@@ -5,6 +5,26 @@ import json
 from galley.streaming import audit_stream as S
 
 
+def test_counts_do_not_depend_on_the_number_of_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2000).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("id") * 7919, F.lit(2000)) * 600).alias("ts"),
+        F.lit("r").alias("run_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("stage"),
+        F.when(F.col("id") % 7 == 0, "e").alias("error"),
+    )
+    found = []
+    for files in (4, 150):
+        base = tmp_path / str(files)
+        rows.unionByName(rows).repartition(files).write.json(f"{base}/log")
+        S.write_counts(S.stage_counts(S.read_log(spark, f"{base}/log")), f"{base}/out", f"{base}/cp").awaitTermination()
+        found.append(sorted(map(tuple, spark.read.parquet(f"{base}/out").collect())))
+    assert found[0] == found[1]
+    # 2000 events in steps of ten minutes: 13 whole days are closed
+    assert sum(r[3] for r in found[0]) == 13 * 144
+
+
 def test_calls_meet_outputs_as_they_arrive(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
