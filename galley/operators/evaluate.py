@@ -292,13 +292,15 @@ def evaluate(drafts: DataFrame, replies: DataFrame | None = None, kpis: Sequence
     by tier 1 gets no judge results.
     """
     kpis = seed_kpis() if kpis is None else kpis
-    rows = checks.features(drafts)
+    # the texts end here: what is joined with the replies are results, a few hundred bytes a draft
+    first = checks.features(drafts).select(
+        "run_id", "channel", "origin", "strict_mode", tier1(kpis).alias("r1"), tier3(kpis).alias("r3")
+    )
     if replies is None:
-        rows = rows.withColumn("judge_replies", F.lit(None).cast(REPLIES))
+        first = first.withColumn("judge_replies", F.lit(None).cast(REPLIES))
     else:
-        rows = rows.join(collect_replies(replies), "run_id", "left")
+        first = first.join(collect_replies(replies), "run_id", "left")
     origin, strict = F.col("origin"), F.coalesce("strict_mode", F.lit(False))
-    first = rows.withColumns({"r1": tier1(kpis), "r3": tier3(kpis)})
     early = first.withColumn("early", gate(F.col("r1"), origin, strict))
     stopped = F.size("early") > 0
     second = early.withColumn(
@@ -364,17 +366,16 @@ def report_counts(results: DataFrame) -> DataFrame:
     """Counts per draft and tier, and per draft over all tiers (tier 0)."""
     machine = F.col("_tier") != 3
     skipped = F.col("source") == "skipped"
-    # the rollup replaces the tier by null on the total rows, so tests use a copy
+    # the total rows have a null tier, so tests use a copy
     copied = results.withColumn("_tier", F.col("tier"))
     return (
-        copied.rollup("run_id", "tier")
+        copied.groupingSets([["run_id", "tier"], ["run_id"]], "run_id", "tier")
         .agg(
             F.count_if(machine & F.col("passed") & ~skipped).alias("passed"),
             F.count_if(machine & ~F.col("passed")).alias("failed"),
             F.count_if(machine & F.col("passed") & skipped).alias("skipped"),
             F.count_if(~machine).alias("pending"),
         )
-        .where(F.col("run_id").isNotNull())
         .withColumn("tier", F.coalesce("tier", F.lit(0)))
     )
 
