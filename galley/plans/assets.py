@@ -1,8 +1,9 @@
 """The built corpora, written once per session and read by every search.
 
-Building and searching are separate jobs: nodes and chunks are stored as
-parquet by corpus, so a search reads only the routed corpora and the columns
-it scores. The folder is the shared one of the cluster.
+Building and searching are separate jobs: nodes and chunks are stored by
+corpus, so a search reads only the routed corpora and the columns it scores,
+and in buckets of whole nodes, so the scores of a node or chunk are complete in
+the task that reads it. The folder is the shared one of the cluster.
 """
 
 from __future__ import annotations
@@ -20,9 +21,15 @@ def _stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _BUILT:
         path = scratch(spark, name)
-        build().write.partitionBy("corpus").parquet(path)
-        _BUILT[key] = path
-    return spark.read.parquet(_BUILT[key])
+        place = ("root_ord", "node_ord")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"galley_{name}_{path[-32:]}"
+        (
+            build().repartition(buckets, *place).write.partitionBy("corpus").bucketBy(buckets, *place)
+            .option("path", path).saveAsTable(table)
+        )
+        _BUILT[key] = table
+    return spark.table(_BUILT[key])
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:

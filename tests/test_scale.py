@@ -128,3 +128,14 @@ def test_all_runs_keep_their_latest_stage(spark):
     got = {r.run_id: r.payload for r in A.latest_stage(df).collect()}
     assert len(got) == 100 and got["run_7"] == '{"body":"b207"}'
     assert A.latest_stage(df, kept_runs=3).count() == 3
+
+
+def test_scores_are_complete_before_the_only_exchange(spark):
+    from galley.plans import catalogue
+
+    for name in ("topk_vector", "topk_keyword"):
+        df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.rindex("WindowGroupLimit") :]
+        scoring = below[: below.index("FileScan parquet")]
+        assert scoring.count("HashAggregate") == 2 and "Exchange" not in scoring, scoring
