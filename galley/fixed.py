@@ -153,6 +153,9 @@ TITLE_WEIGHT, TAG_WEIGHT, SUMMARY_WEIGHT = 4, 2, 1
 VECTOR_NOTE = "Sparse vector cosine over generated JSONL chunk assets."
 FALLBACK_NOTE = "Vector assets returned no snippets; PageIndex keyword fallback used."
 KEYWORD_NOTE = "Keyword and tag overlap over cached PageIndex assets."
+RANKER_NOTE = "Two-stage LLM ranker shortlisted articles and selected grounding sections."
+RANKER_EMPTY_NOTE = "LLM ranker returned no usable snippets; deterministic fallback."
+RANKER_FAILED_NOTE = "LLM ranker failed; deterministic fallback: "
 
 # Keyword overlap below which a refined request counts as a new topic.
 PIVOT_OVERLAP = 0.5

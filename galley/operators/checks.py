@@ -336,14 +336,24 @@ def citation_markers() -> Column:
 
 def flesch() -> Column:
     """Reading ease of the bare text; null without sentences or words."""
-    words = F.size("f_speech")
+    return flesch_of(*averages())
+
+
+def averages() -> tuple[Column, Column]:
+    """Words per sentence and syllables per word; null without sentences or words."""
+    words, sentences = F.size("f_speech"), F.col("f_n_sentences")
     total = F.aggregate("f_speech", F.lit(0), lambda acc, w: acc + T.syllables(w))
-    score = 206.835 - 1.015 * (words / F.col("f_n_sentences")) - 84.6 * (total / words)
-    return F.when((words > 0) & (F.col("f_n_sentences") > 0), score)
+    some = (words > 0) & (sentences > 0)
+    return F.when(some, words / sentences), F.when(some, total / words)
+
+
+def flesch_of(sentence: Column, word: Column) -> Column:
+    return 206.835 - 1.015 * sentence - 84.6 * word
 
 
 def reading_level() -> Column:
-    def judge(s: Column) -> Column:
+    def judge(m: Column) -> Column:
+        s = flesch_of(m["sentence"], m["word"])
         band = (
             F.when(s >= 90, "A1").when(s >= 80, "A2").when(s >= 60, "B1").when(s >= 50, "B2")
             .when(s >= 30, "C1").otherwise("C2")
@@ -353,11 +363,16 @@ def reading_level() -> Column:
         ).otherwise(
             verdict(
                 band, s >= 60, say("Flesch score ", F.format_string("%.1f", s), " → ", band),
-                "LanguageLevelScale", F.struct(F.round(s, 1).alias("flesch")),
+                "LanguageLevelScale",
+                F.struct(
+                    F.round(s, 1).alias("flesch"), F.round(m["sentence"], 2).alias("avg_sentence_len"),
+                    F.round(m["word"], 2).alias("avg_syllables_per_word"),
+                ),
             )
         )
 
-    return T.let(flesch(), judge)
+    sentence, word = averages()
+    return T.let(F.struct(sentence.alias("sentence"), word.alias("word")), judge)
 
 
 def sentence_count() -> Column:

@@ -446,6 +446,46 @@ def ranker_picks(queries: DataFrame, nodes: DataFrame, picks: DataFrame) -> Data
     )
 
 
+def retrieve_ranked(
+    queries: DataFrame, nodes: DataFrame, chunks: DataFrame, asked: DataFrame, picks: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """``retrieve`` with an outside ranker for the requests that do not go by vectors.
+
+    ``asked`` holds a row for each request the ranker was asked about: run_id,
+    model and error (null if it answered). Its usable choices are the snippets;
+    without any, and after an error, keywords decide and the summary says why.
+    """
+    paged = F.col("backend") != "vector_rag"
+    put = asked.groupBy("run_id").agg(F.max("model").alias("model"), F.max("error").alias("error"))
+    answered = queries.where(paged & has_valid_k()).join(put.where("error is null").select("run_id"), "run_id", "left_semi")
+    # at most MAX_K rows per request, read three times below
+    chosen = cut_lineage(ranker_picks(answered, nodes, picks))
+    counts = chosen.groupBy("run_id").agg(F.count(F.lit(1)).alias("snippet_count"))
+    others, summary = retrieve(queries.join(counts, "run_id", "left_anti"), nodes, chunks)
+    reasoning = (
+        F.when(~F.col("paged") | F.col("was_asked").isNull(), F.col("reasoning"))
+        .when(F.col("error").isNotNull(), F.concat(F.lit(fixed.RANKER_FAILED_NOTE), F.col("error")))
+        .otherwise(fixed.RANKER_EMPTY_NOTE)
+    )
+    told = (
+        summary.withColumn("paged", F.col("provider") != "vector_rag")
+        .join(put.withColumn("was_asked", F.lit(True)), "run_id", "left")
+        .select(
+            "run_id", "provider", "corpora_searched", "snippet_count", reasoning.alias("reasoning"),
+            F.lit("deterministic").alias("source"), F.lit(None).cast("string").alias("model"),
+        )
+    )
+    by_ranker = (
+        queries.join(counts, "run_id").join(put.select("run_id", "model"), "run_id")
+        .select(
+            "run_id", F.col("backend").alias("provider"), F.col("corpora").alias("corpora_searched"),
+            F.col("snippet_count").cast("bigint").alias("snippet_count"), F.lit(fixed.RANKER_NOTE).alias("reasoning"),
+            F.lit("llm").alias("source"), "model",
+        )
+    )
+    return chosen.unionByName(others), by_ranker.unionByName(told)
+
+
 def _one_line(c: Column, limit: int) -> Column:
     return F.substring(F.replace(T.strip(c), F.lit("\n"), F.lit(" ")), 1, limit)
 

@@ -218,14 +218,17 @@ _FLESCH = (
     "chk_reading_level",
     f"""select run_id, case when s is null then 'unknown' when s >= 90 then 'A1' when s >= 80 then 'A2' when s >= 60 then 'B1'
   when s >= 50 then 'B2' when s >= 30 then 'C1' else 'C2' end as value, coalesce(s >= 60, false) as passed,
-  coalesce(round(s, 6), 0.0::DOUBLE) as flesch
-from (select run_id, case when len(speech) > 0 and len(sents) > 0 then {_FLESCH} end as s from o_feat)""",
+  coalesce(round(s, 6), 0.0::DOUBLE) as flesch, coalesce(round(a, 2), 0.0::DOUBLE) as avg_sentence_len,
+  coalesce(round(b, 2), 0.0::DOUBLE) as avg_syllables_per_word
+from (select run_id, case when len(speech) > 0 and len(sents) > 0 then len(speech)::DOUBLE / len(sents) end as a,
+  case when len(speech) > 0 and len(sents) > 0 then {_SYLS}::DOUBLE / len(speech) end as b, case when len(speech) > 0 and len(sents) > 0 then {_FLESCH} end as s from o_feat)""",
 )
 def chk_reading_level(spark, sf):
     rows = K.features(drafts(spark, sf)).select(
         "run_id", K.reading_level().alias("v"), F.coalesce(F.round(K.flesch(), 6), F.lit(0.0)).alias("flesch")
     )
-    return rows.select("run_id", "v.value", "v.passed", "flesch")
+    metric = lambda n: F.coalesce(F.get_json_object("v.raw_metric", f"$.{n}").cast("double"), F.lit(0.0)).alias(n)
+    return rows.select("run_id", "v.value", "v.passed", "flesch", metric("avg_sentence_len"), metric("avg_syllables_per_word"))
 
 
 _check(

@@ -320,6 +320,57 @@ def ranker_reconcile(spark, sf):
     return _snippets(R.ranker_picks(queries, assets.nodes(spark, sf), picks(queries)))
 
 
+#: Requests the ranker was asked about; it failed for some.
+ASKED = {
+    "run_id": "run_id",
+    "model": "'ranker-' || (run_id % 2)",
+    "error": "case when run_id % 5 = 4 then 'boom ' || run_id end",
+}
+inputs.as_view("asked_in", "o_query", ASKED, "run_id % 4 <> 1 and backend <> 'vector_rag'")
+view(
+    "o_ranked",
+    """select run_id, rank, corpus as source_doc, node_id, title, article_title, md5(text) as content_md5,
+  score, reason, source_url from (
+  select p.run_id, q.k, n.*, p.reason, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, p.score)), 4) as score,
+    row_number() over (partition by p.run_id order by greatest(0.0::DOUBLE, least(1.0::DOUBLE, p.score)) desc, route_ord, p.ord) as rank
+  from picks_in p join o_routed q on q.run_id = p.run_id and q.corpus = p.corpus
+  join o_nodes n on n.corpus = p.corpus and n.node_id = p.node_id
+  where p.run_id in (select run_id from asked_in where error is null)) where rank <= k""",
+)
+
+
+def _ranked(spark, sf):
+    queries = queries_of(spark, sf)
+    asked = inputs.select(queries.where("run_id % 4 <> 1 and backend <> 'vector_rag'"), ASKED)
+    return R.retrieve_ranked(queries, assets.nodes(spark, sf), assets.chunks(spark, sf), asked, picks(queries))
+
+
+@query(
+    "retrieve_ranked",
+    f"select * from o_ranked union all select * from ({_RETRIEVED}) where run_id not in (select run_id from o_ranked)",
+)
+def retrieve_ranked(spark, sf):
+    """Vectors, an outside ranker, its failures, and keywords, side by side."""
+    return _snippets(_ranked(spark, sf)[0])
+
+
+@query(
+    "retrieve_ranked_summary",
+    f"""select q.run_id, q.backend as provider, coalesce(n, 0) as snippet_count,
+  case when r.run_id is not null then 'llm' else 'deterministic' end as source, case when r.run_id is not null then a.model end as model,
+  case when r.run_id is not null then '{fixed.RANKER_NOTE}' when a.error is not null then '{fixed.RANKER_FAILED_NOTE}' || a.error
+    when a.run_id is not null then '{fixed.RANKER_EMPTY_NOTE}' when q.backend <> 'vector_rag' then '{fixed.KEYWORD_NOTE}'
+    when q.run_id in (select run_id from o_vec_best) then '{fixed.VECTOR_NOTE}' else '{fixed.FALLBACK_NOTE}' end as reasoning
+from o_query q left join asked_in a on a.run_id = q.run_id
+left join (select distinct run_id from o_ranked) r on r.run_id = q.run_id
+left join (select run_id, count(*) as n from (
+  select run_id from o_ranked union all select run_id from ({_RETRIEVED}) where run_id not in (select run_id from o_ranked)) group by 1) c
+  on c.run_id = q.run_id""",
+)
+def retrieve_ranked_summary(spark, sf):
+    return _ranked(spark, sf)[1].select("run_id", "provider", "snippet_count", "source", "model", "reasoning")
+
+
 _ABOUT = "case when prefix_summary <> '' then prefix_summary else summary end"
 _SHORT = f"substr(replace({Q.strip(_ABOUT)}, chr(10), ' '), 1, 180)"
 
