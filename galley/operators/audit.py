@@ -17,8 +17,10 @@ def stage_event(
     rows: DataFrame, stage: str, source: Column, given: Column | None = None, made: Column | None = None,
     error: Column | None = None,
 ) -> DataFrame:
-    """One event per row of a stage; summaries are structs."""
+    """One event per row of a stage, of now and of kind "audit"; summaries are structs."""
     return rows.select(
+        F.current_timestamp().alias("ts"),
+        F.lit("audit").alias("kind"),
         "run_id",
         F.lit(stage).alias("stage"),
         source.alias("source"),
@@ -77,6 +79,20 @@ def evaluation_events(evaluated: DataFrame) -> DataFrame:
     )
 
 
+def failed_events(failures: DataFrame, stage: str, source: str = "system") -> DataFrame:
+    """Events of a stage that raised: rows hold run_id and error; there is no output to sum up."""
+    return stage_event(failures, stage, F.lit(source), error=F.col("error"))
+
+
+def for_log(events: DataFrame, at: Column | None = None) -> DataFrame:
+    """Events as the audit log stores them; ``at`` sets their time."""
+    timed = events if at is None else events.withColumn("ts", at)
+    return timed.select(
+        "ts", "kind", F.col("run_id").cast("string").alias("run_id"), "stage", "source", "input_summary",
+        "output_summary", "error",
+    )
+
+
 def all_events(*stages: DataFrame) -> DataFrame:
     return union_all(list(stages))
 

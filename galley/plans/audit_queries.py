@@ -194,6 +194,34 @@ def audit_events(spark, sf):
     return events.select("run_id", "stage", "source", "input_summary", "output_summary")
 
 
+_PLACE = "case stage when 'intent' then 0 when 'profiles' then 1 else 2 end"
+
+
+@query(
+    "audit_flow",
+    """select run_id, stage, 'audit' as kind, case when stage = 'refinement' and n % 7 = 0 then 'boom ' || n end as error,
+  row_number() over (partition by run_id order by """
+    + _PLACE
+    + """) as seq from (select run_id::VARCHAR as run_id, unnest(['intent', 'profiles', 'refinement']) as stage, run_id as n from o_turn)""",
+)
+def audit_flow(spark, sf):
+    """Events of all stages and of failed ones, appended to a log, read back and numbered."""
+    rows = refine_queries.chat_rows(spark, sf)
+    fails = F.col("run_id") % 7 == 0
+    events = A.all_events(
+        A.intent_events(rows),
+        A.profile_events(P.select_profiles(rows)),
+        A.refinement_events(X.refine(rows.where(~fails), refine_queries.answers_of(rows))),
+        A.failed_events(rows.where(fails).select("run_id", F.concat(F.lit("boom "), F.col("run_id").cast("string")).alias("error")), "refinement"),
+    )
+    path = files.scratch(spark, "flow")
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("run_id") * 60 + F.expr(_PLACE))
+    files.append_audit(A.for_log(events, at), path)
+    return A.trace(files.read_audit(spark, path), ["ts"]).select(
+        "run_id", "stage", "kind", "error", F.col("seq").cast("bigint").alias("seq")
+    )
+
+
 @query("audit_trace", "select run_id, event_id, row_number() over (partition by run_id order by ts, event_id) as seq from log_in")
 def audit_trace(spark, sf):
     return A.trace(log(spark, sf), ["ts", "event_id"]).select("run_id", "event_id", F.col("seq").cast("bigint").alias("seq"))
