@@ -12,11 +12,12 @@ without being formed. Documents therefore meet only on equal block contents
 (about nine n-grams at once), never on a single common n-gram.
 
 Overlap counts are accumulated exactly for the pairs that are left. To find
-components it is not needed to form all pairs of a group: each group is first
-compared with its most central member, then, as long as it is in several
-components, with more members (4 times as many each round) of other
-components. So a group of near copies costs about its size, and no pair that
-could link two components is left out, whatever the group's size.
+components it is not needed to form all pairs of a group: its members are
+compared with a pivot, the most central of them. As long as the others are in
+several components, they meet again on what makes each differ from the pivot,
+under the bound that a link puts on these differences, in smaller groups with
+a few pivots of their own. So a group of near copies costs about its size, and
+no pair that could link two components is left out, whatever the group's size.
 
 Documents of equal sets (exact copies above all) are one node: their first
 document within a task alone sends its blocks, the shuffle sees at most one
@@ -44,11 +45,12 @@ from pyspark.sql import functions as F
 
 from galley.operators.scale import fits
 from galley.session import cut_lineage
+from galley.sources.files import scratch
 
 WIDTH = 3
 PERCENT = 90
-#: Members a group is compared with in the second round; four times as many in each further one.
-FANOUT = 4
+#: Growth, per round, of the number of members all others of a group are compared with (one at first).
+MORE_PIVOTS = 8
 #: Ids (8 bytes each) up to which a list of documents may be broadcast.
 BROADCAST_IDS = 1_000_000
 #: Nodes a task remembers so as not to send their blocks again.
@@ -260,7 +262,7 @@ def components(edges: DataFrame) -> DataFrame:
     of their length. Stars are written between rounds.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
-    now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         least = lambda e: e.groupBy("a").agg(F.min("b").alias("least"))
         around = both(now)
@@ -272,7 +274,7 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e"))
             .select("e.*").where("a <> b").distinct()
         )
-        new = cut_lineage(small)
+        new = stored(small)
         # a star forest has one edge per node, and centres that are no one's leaf
         is_star = new.groupBy("a").count().where("count > 1").isEmpty() and new.alias("x").join(
             new.alias("y"), F.col("x.b") == F.col("y.a"), "left_semi"
@@ -296,14 +298,36 @@ def _meetings(rows: DataFrame) -> DataFrame:
     return met.select("key", "node", "n_shingles").distinct()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: unlike a checkpoint it forgets the plan's constraints,
+    which would double from round to round."""
+    path = scratch(df.sparkSession, "ngram-join")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _ranked(meetings: DataFrame) -> DataFrame:
-    """Members of each key by rank: first those that share most with most others."""
+    """Members of each key by ``rank``: first those that share most with most others, the pivots."""
     sizes = meetings.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     shared = meetings.join(sizes, "key")
     central = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     w = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-    return shared.join(central, "node").select(
-        "key", "node", "n_shingles", F.row_number().over(w).alias("rank")
+    return meetings.join(central, "node").withColumn("rank", F.row_number().over(w)).drop("weight")
+
+
+def _pairs(ranked: DataFrame, labels: DataFrame | None, pivots: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of a pivot and another member whose sizes allow a link and whose labels differ."""
+    placed = _labelled(ranked, labels)
+    first = placed.where(F.col("rank") <= pivots).select(
+        "key", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra")
+    )
+    second = placed.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"), "rank")
+    return (
+        first.join(second, "key")
+        .where("rank > ra and la <> lb")
+        .where(F.abs(F.col("na") - F.col("nb")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
     )
 
 
@@ -316,12 +340,62 @@ def _linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return counted.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _several_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of keys that are in two or more components."""
+    w = Window.partitionBy("key")
+    return _labelled(rows, labels).withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).where("lo <> hi").drop("lo", "hi", "label")
+
+
+def _next_meetings(open_rows: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Keys on which members of one pivot meet that are yet to be compared.
+
+    Let d(x) be the members by which x differs from the pivot. A linked pair
+    (x, y) has at least (d(x) + d(y) - allowed(x, y)) / 2 of these in common,
+    and if both are linked to the pivot they need no comparison. That leaves a
+    least number in common for each x: with the rarest first, only so many of
+    its differences need to be keys that a pair with fewer in common may miss
+    each other (a prefix filter on differences). Differences that are rare in
+    the group are those that make x special, so what is common to the whole
+    group never makes its members meet.
+    """
+    left = arrays.select(F.col("node").alias("pivot"), F.col("grams").alias("gp"))
+    right = arrays.select("node", F.col("grams").alias("gx"))
+    scoped = open_rows.select("scope", "pivot", "node", "n_shingles").distinct()
+    less, more = 100 - percent, 100 + percent
+    met = scoped.join(left, "pivot").join(right, "node").select(
+        F.xxhash64("scope", "pivot").alias("scope"), "node", "n_shingles", F.size("gp").alias("np"),
+        F.concat(F.array_except("gx", "gp"), F.array_except("gp", "gx")).alias("diff"),
+    )
+    n, d = F.col("n_shingles"), F.size("diff").cast("bigint")
+    is_linked = d * more <= (n + F.col("np")) * less
+    # linked to the pivot: the other one is not, so it differs from it by more than its sizes allow
+    of_linked = F.ceil((d + F.floor((F.col("np") - n) * less / more) + 1) / 2)
+    # not linked: the other one is at most as far from the pivot as a link allows
+    of_other = d - F.floor((n + F.floor(n * 100 / percent)) * less / more)
+    common = F.greatest(F.lit(1), F.when(is_linked, of_linked).otherwise(of_other)).cast("bigint")
+    # read twice below; the arrays are joined once
+    differences = stored(met.select("scope", "node", "n_shingles", (d - common + 1).alias("first"), "diff"))
+    rows = differences.select("scope", "node", "n_shingles", "first", F.explode("diff").alias("gram"))
+    often = rows.groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("seen"))
+    rarest = Window.partitionBy("scope", "node").orderBy("seen", "gram")
+    placed = rows.join(often, ["scope", "gram"]).withColumn("place", F.row_number().over(rarest))
+    return placed.where("place <= first and seen > 1").select(
+        F.xxhash64("scope", "gram").alias("key"), "scope", "node", "n_shingles"
+    )
+
+
 def similarity_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and its node (null without n-grams)."""
     rows = cut_lineage(incidence(docs, id_col, text_col, width, percent))
-    members = cut_lineage(_ranked(_meetings(rows)))
+    members = cut_lineage(_meetings(rows))
     labels = _node_components(docs, rows, members, id_col, text_col, width, percent)
     # a node's own documents are joined by a partial aggregate: copies send one row per task
     named = rows.select("doc_id", "n_shingles", "node")
@@ -356,35 +430,24 @@ def _node_components(docs, rows, members, id_col, text_col, width, percent) -> D
     arrays = cut_lineage(arrays.select("node", "grams"))
 
     links: DataFrame | None = None
-    labels = met.withColumn("label", F.col("node"))
-    low, high = 1, 1
+    labels: DataFrame | None = None
+    meetings, pivots = members.withColumn("scope", F.lit(0).cast("bigint")), 1
     while True:
-        placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        w = Window.partitionBy("key")
-        open_keys = (
-            placed.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w), "last": F.max("rank").over(w)})
-            .where("lo <> hi and last >= %d" % (low + 1))
-            .drop("lo", "hi", "last")
-        )
-        open_keys = cut_lineage(open_keys)
-        if open_keys.isEmpty():
-            return labels if links is not None else None
-        first = open_keys.where(F.col("rank").between(low, high)).select(
-            "key", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra")
-        )
-        second = open_keys.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"), "rank")
-        pairs = (
-            first.join(second, "key")
-            .where("rank > ra and la <> lb")
-            .where((F.abs(F.col("na") - F.col("nb")) * (100 + percent)) <= (F.col("na") + F.col("nb")) * (100 - percent))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        found = cut_lineage(_linked(pairs, arrays, percent))
+        ranked = stored(_ranked(meetings))
+        found = stored(_linked(_pairs(ranked, labels, pivots, percent), arrays, percent))
         if not found.isEmpty():
             links = found if links is None else links.union(found)
-            labels = cut_lineage(components(links))
-        low, high = high + 1, high * FANOUT + 1
+            labels = components(links)
+        # the pivots have met all; the others of their groups may still link components
+        first = ranked.where("rank = 1").select("key", F.col("node").alias("pivot"))
+        others = _several_labels(ranked.where(F.col("rank") > pivots), labels).join(first, "key")
+        open_rows = stored(others)
+        if open_rows.isEmpty():
+            return labels
+        meetings = stored(_several_labels(_next_meetings(open_rows, arrays, percent).distinct(), labels))
+        if meetings.isEmpty():
+            return labels
+        pivots *= MORE_PIVOTS
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
