@@ -136,23 +136,23 @@ class Vocabulary:
 
     def _extend(self, word: str, last: list[int], starts: list[int]) -> None:
         """States of all prefixes of ``word`` that are not there yet."""
-        find, follows, longest = self.pieces.get, self.follows, self.longest
+        find, follows, longest, chars = self.pieces.get, self.follows.get, self.longest, self.first_char
         for end in range(len(last), len(word) + 1):
             # as only one piece fits, the order is free: most often the last piece grows, or a new one starts
-            for start in chain((starts[-1], end - 1), range(max(0, end - longest), end - 1)):
-                code = find(word[start:end])
-                if code is None:
-                    if end - start > 1:
-                        continue
-                    code = self.first_char + ord(word[start])
-                before = last[start]
-                known = follows.get(before << CODE_BITS | code)
-                if known or known is None and self.may_follow(before, code):
-                    last.append(code)
-                    starts.append(start)
-                    break
-            else:
-                raise AssertionError(f"no segmentation of {word[:end]!r}")
+            start, code = starts[-1], find(word[starts[-1] : end])
+            if code is None or not (follows(last[start] << CODE_BITS | code) or self.may_follow(last[start], code)):
+                start = end - 1
+                code = find(word[start])
+                code = chars + ord(word[start]) if code is None else code
+                if not (follows(last[start] << CODE_BITS | code) or self.may_follow(last[start], code)):
+                    for start in range(max(0, end - longest), end - 1):
+                        code = find(word[start:end])
+                        if code is not None and (follows(last[start] << CODE_BITS | code) or self.may_follow(last[start], code)):
+                            break
+                    else:
+                        raise AssertionError(f"no segmentation of {word[:end]!r}")
+            last.append(code)
+            starts.append(start)
 
     @staticmethod
     def _path(last: list[int], starts: list[int]) -> list[int]:
