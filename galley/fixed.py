@@ -153,6 +153,12 @@ TITLE_WEIGHT, TAG_WEIGHT, SUMMARY_WEIGHT = 4, 2, 1
 VECTOR_NOTE = "Sparse vector cosine over generated JSONL chunk assets."
 FALLBACK_NOTE = "Vector assets returned no snippets; PageIndex keyword fallback used."
 KEYWORD_NOTE = "Keyword and tag overlap over cached PageIndex assets."
+ASK_NOTE = "Clarification questions generated before lock-in."
+LOCK_NOTE = "Prompt locked after deterministic refinement."
+MODEL_ASK_NOTE = "LLM generated refinement questions."
+MODEL_LOCK_NOTE = "LLM locked refined prompt from clarifications."
+ASK_FAILED_NOTE = "LLM refinement failed; deterministic fallback: "
+LOCK_FAILED_NOTE = "LLM lock failed; deterministic refinement fallback: "
 RANKER_NOTE = "Two-stage LLM ranker shortlisted articles and selected grounding sections."
 RANKER_EMPTY_NOTE = "LLM ranker returned no usable snippets; deterministic fallback."
 RANKER_FAILED_NOTE = "LLM ranker failed; deterministic fallback: "

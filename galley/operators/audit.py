@@ -55,7 +55,7 @@ def retrieval_events(summary: DataFrame) -> DataFrame:
 
 def refinement_events(refined: DataFrame) -> DataFrame:
     return stage_event(
-        refined, "refinement", F.lit("deterministic"),
+        refined, "refinement", F.col("source"),
         F.struct(F.size("answers").alias("answers_count"), (F.col("refinement_policy") == "ask_first").alias("ask_questions")),
         F.struct("done", F.size("questions").alias("question_count"), "needs_re_retrieval", "reasoning"),
     )

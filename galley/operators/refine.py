@@ -104,9 +104,14 @@ def refine(
     answers: DataFrame | None = None,
     product: str = PRODUCT,
     profiles: Sequence[dict] = fixed.PROFILES,
+    replies: DataFrame | None = None,
 ) -> DataFrame:
     """One refinement turn per request.
 
+    ``replies`` holds what a model said, at most one row per run_id: questions,
+    proposed_prompt, done, reasoning and error. A reply without an error
+    replaces the questions or the prompt; an error is told in the reasoning.
+
     Requests that are to be asked first and have no answers get questions;
     the others get a locked prompt, its new intent and the pivot flag.
     ``answers`` holds at most one row per run_id with an array ``answers`` of
@@ -123,12 +128,28 @@ def refine(
         "conversation_language", conversation_language(F.col("user_prompt"), F.col("language"))
     )
     ask = (F.col("refinement_policy") == "ask_first") & (F.size("answers") == 0)
+    reply_kind = f"struct<questions:{QUESTIONS},proposed_prompt:string,done:boolean,reasoning:string,error:string>"
+    if replies is None:
+        rows = rows.withColumn("reply", F.lit(None).cast(reply_kind))
+    else:
+        said = F.struct("questions", "proposed_prompt", "done", "reasoning", "error").cast(reply_kind)
+        rows = rows.join(replies.select("run_id", said.alias("reply")), "run_id", "left")
+    reply = F.col("reply")
+    error = reply["error"]
+    usable = reply.isNotNull() & error.isNull()
+    filled = lambda c: F.nullif(c, F.lit(""))
+    asked = F.coalesce(normalise_service(reply["questions"]), F.array()).cast(QUESTIONS)
     rows = rows.withColumns(
         {
             "ask": ask,
-            "questions": F.when(ask, questions(product)).otherwise(F.array().cast(QUESTIONS)),
-            "refined_prompt": F.when(ask, T.strip(F.col("user_prompt"))).otherwise(
-                apply_answers(F.col("user_prompt"), F.col("answers"), F.col("conversation_language"))
+            "questions": F.when(~ask, F.array().cast(QUESTIONS)).when(usable, asked).otherwise(questions(product)),
+            "refined_prompt": F.when(
+                ask, F.coalesce(F.when(usable, filled(reply["proposed_prompt"])), T.strip(F.col("user_prompt")))
+            ).otherwise(
+                F.coalesce(
+                    F.when(usable, T.strip(filled(reply["proposed_prompt"]))),
+                    apply_answers(F.col("user_prompt"), F.col("answers"), F.col("conversation_language")),
+                )
             ),
         }
     )
@@ -146,13 +167,21 @@ def refine(
     )
     return fresh.withColumns(
         {
-            "done": ~F.col("ask"),
+            "done": ~F.col("ask") | (usable & F.coalesce(reply["done"], F.lit(False)) & (F.size("questions") == 0)),
+            "source": F.when(usable, "llm").otherwise("deterministic"),
             "needs_re_retrieval": ~F.col("ask") & pivot,
-            "reasoning": F.when(F.col("ask"), "Clarification questions generated before lock-in.").otherwise(
-                "Prompt locked after deterministic refinement."
+            "reasoning": F.when(
+                F.col("ask"),
+                F.when(usable, F.coalesce(filled(reply["reasoning"]), F.lit(fixed.MODEL_ASK_NOTE)))
+                .when(error.isNotNull(), F.concat(F.lit(fixed.ASK_FAILED_NOTE), error))
+                .otherwise(fixed.ASK_NOTE),
+            ).otherwise(
+                F.when(usable, F.coalesce(filled(reply["reasoning"]), F.lit(fixed.MODEL_LOCK_NOTE)))
+                .when(error.isNotNull(), F.concat(F.lit(fixed.LOCK_FAILED_NOTE), error))
+                .otherwise(fixed.LOCK_NOTE)
             ),
         }
-    ).drop("ask")
+    ).drop("ask", "reply")
 
 
 def run_status() -> Column:

@@ -116,6 +116,44 @@ def refined(spark, sf):
     return X.refine(rows, answers_of(rows))
 
 
+_SAID = "run_id % 6 between 2 and 5"
+_PROPOSED = "case run_id % 6 when 2 then ' New prompt on retail media ' when 5 then 'X' else '' end"
+
+
+@query(
+    "refine_replies",
+    f"""select t.run_id, case when t.{_SAID} then 'llm' else 'deterministic' end as source, not ask or t.run_id % 6 = 2 as done,
+  case when not ask then '' when t.{_SAID} then case when t.run_id % 6 = 3 then 'Q1=a/b/c/d|Q2=' else '' end
+    else array_to_string(asked, '|') end as questions,
+  md5(case when t.{_SAID} and proposed <> '' then case when ask then proposed else trim(proposed) end
+    when ask then {Q.strip('t.user_prompt')} else refined end) as refined_md5,
+  case when t.run_id % 6 = 2 then 'because' when t.{_SAID} then case when ask then '{fixed.MODEL_ASK_NOTE}' else '{fixed.MODEL_LOCK_NOTE}' end
+    when t.run_id % 6 = 1 then case when ask then '{fixed.ASK_FAILED_NOTE}' else '{fixed.LOCK_FAILED_NOTE}' end || 'boom'
+    when ask then '{fixed.ASK_NOTE}' else '{fixed.LOCK_NOTE}' end as reasoning
+from (select *, {_PROPOSED} as proposed from o_turn) t join o_questions q on q.run_id = t.run_id""",
+)
+def refine_replies(spark, sf):
+    """Good, broken and missing replies of a model."""
+    rows = chat_rows(spark, sf)
+    kind = F.col("run_id") % 6
+    four = F.expr(
+        "array(named_struct('question', 'Q1', 'choices', array('a', ' ', 'b', 'c', 'd', 'e')), "
+        "named_struct('question', ' ', 'choices', array('x')), named_struct('question', 'Q2', 'choices', cast(array() as array<string>)), "
+        "named_struct('question', 'Q3', 'choices', array('y')))"
+    )
+    replies = rows.where(kind != 0).select(
+        "run_id",
+        F.when(kind == 3, four).otherwise(F.array().cast(X.QUESTIONS)).alias("questions"),
+        F.expr(_PROPOSED).alias("proposed_prompt"), kind.isin(2, 3).alias("done"),
+        F.when(kind == 2, "because").when(kind == 4, "").alias("reasoning"), F.when(kind == 1, "boom").alias("error"),
+    )
+    done = X.refine(rows, answers_of(rows), replies=replies)
+    return done.select(
+        "run_id", "source", "done", _show_questions(F.col("questions")).alias("questions"),
+        F.md5("refined_prompt").alias("refined_md5"), "reasoning",
+    )
+
+
 @query("apply_answers", "select run_id, case when ask then trim(user_prompt, " + Q.WS + ") else refined end as refined_prompt from o_turn")
 def apply_answers(spark, sf):
     return refined(spark, sf).select("run_id", "refined_prompt")
