@@ -71,7 +71,8 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-NAMES = tuple(statistics(F.lit("")).keys()) if False else (
+#: Order of the statistics in feature vectors.
+NAMES = (
     "chars", "words", "word_length", "upper", "digits", "symbols", "marks", "stops", "blanks", "distinct_words",
     "lines", "distinct_lines", "line_length", "hard_words", "short_words",
 )

@@ -31,6 +31,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.functions.text import running_sum
+
 #: The patterns of the base kinds, in order. A run is matched whole and judged by length.
 ASSIGN = (
     r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
@@ -65,25 +67,9 @@ BANDS = (28, 40, 64)
 BINS = 50
 #: Estimated share of false discoveries allowed in a stratum.
 RATE = 0.1
-BLOCK = 64
 MASK = "[SECRET]"
 
 
-def running_sum(steps: Column) -> Column:
-    """Inclusive running sum of an array, in blocks: work grows as n * BLOCK, not as its square."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    n_blocks = F.ceil(F.size(steps) / BLOCK).cast("int")
-    cut = F.transform(F.sequence(F.lit(1), n_blocks), lambda b: F.slice(steps, (b - 1) * BLOCK + 1, F.lit(BLOCK)))
-    sums = F.transform(cut, total)
-    shifted = F.transform(
-        cut,
-        lambda block, b: F.transform(
-            block, lambda _, i: total(F.slice(block, F.lit(1), i + 1)) + total(F.slice(sums, F.lit(1), b))
-        ),
-    )
-    return F.when(F.size(steps) > 0, F.flatten(shifted)).otherwise(F.array().cast("array<int>"))
-
-
 def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 

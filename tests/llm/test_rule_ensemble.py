@@ -84,6 +84,10 @@ def test_statistics_by_hand(spark):
         assert s.symbols == (len(re.findall(r"[#$%&*@~^|<>{}\[\]\\_=+]", t)) / len(t) if t else 0)
 
 
+def test_names_are_those_of_the_statistics(spark):
+    assert tuple(R.statistics(F.lit(""))) == R.NAMES
+
+
 def test_tree_paths():
     text = """RandomForestClassificationModel: uid=x
   Tree 0 (weight 1.0):
