@@ -1,7 +1,13 @@
-"""Chunks and sparse term vectors, built inside the row: no shuffle, no explode."""
+"""Chunks and sparse term vectors, built inside the row: no shuffle, no explode.
+
+The vectors of a batch of chunks are counted together in Arrow and numpy: as
+column expressions the same counting takes over ten times the CPU time.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +15,6 @@ from galley import fixed
 from galley.functions import text as T
 
 MILLION = 1_000_000.0
-PLACES = 2**32
 
 
 def chunk_words(
@@ -80,31 +85,35 @@ def norm(counts: Column) -> Column:
     )
 
 
+def _counted(tokens: pa.Array, limit: int) -> pa.Array:
+    """Vectors of lists of tokens, see ``top_terms``."""
+    sizes = np.asarray(tokens.value_lengths().fill_null(0))
+    coded = tokens.flatten().dictionary_encode()
+    codes, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    pairs, first, n = np.unique(rows * max(1, len(words)) + codes, return_index=True, return_counts=True)
+    row, code = np.divmod(pairs, max(1, len(words)))
+    length = np.sqrt(np.bincount(row, weights=(n * n).astype(np.float64), minlength=len(sizes)))
+    order = np.lexsort((first, -n, row))
+    row, code, n = row[order], code[order], n[order]
+    starts = np.searchsorted(row, np.arange(len(sizes)))
+    kept = np.arange(len(row)) - starts[row] < limit
+    row, code, n = row[kept], code[kept], n[kept]
+    weight = np.floor(n / length[row] * MILLION + 0.5) / MILLION
+    entries = pa.StructArray.from_arrays(
+        [words.take(pa.array(code)).cast(pa.string()), pa.array(weight, pa.float64())], names=["term", "weight"]
+    )
+    offsets = np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), entries)
+
+
 def top_terms(toks: Column, limit: int = fixed.VECTOR_TERMS) -> Column:
     """array<struct<term, weight>>: counts scaled by their full length, most frequent kept.
 
-    Equal counts keep the order of first occurrence.
+    Equal counts keep the order of first occurrence. Null gives no terms.
     """
 
-    def scaled(counts: Column) -> Column:
-        def keep(length: Column) -> Column:
-            ranked = F.sort_array(
-                F.transform(
-                    counts,
-                    # one number orders by falling count, then by place
-                    lambda c: F.struct(
-                        (c["pos"] - c["n"] * PLACES).alias("key"), c["n"].alias("n"), c["term"].alias("term")
-                    ),
-                )
-            )
-            return F.transform(
-                F.slice(ranked, 1, limit),
-                lambda r: F.struct(
-                    r["term"].alias("term"),
-                    (F.floor(r["n"] / length * MILLION + 0.5) / MILLION).alias("weight"),
-                ),
-            )
-
-        return T.let(norm(counts), keep)
+    def count(tokens: pa.Array) -> pa.Array:
+        return _counted(tokens, limit)
 
-    return T.let(term_counts(toks), scaled)
+    return F.arrow_udf(count, "array<struct<term:string,weight:double>>")(toks)
