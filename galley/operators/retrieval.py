@@ -383,12 +383,13 @@ def shortlist_target(k: Column) -> Column:
 
 
 def shortlist(queries: DataFrame, nodes: DataFrame, picks: DataFrame) -> DataFrame:
-    """(run_id, corpus, node_id, ord) articles to look into, per request and corpus.
+    """Articles to look into, one row per request and corpus.
 
     ``picks`` holds stage 1 choices: run_id, corpus, ord, node_id. Only known
-    articles that pass the tag filter stay, each once. A request and corpus
-    without a usable pick, or with few articles, takes all articles; those
-    pairs are in the second result as ``whole`` with their article count.
+    articles that pass the tag filter stay, each once; ``node_ids`` has them in
+    order. A request and corpus without a usable pick, or with few articles,
+    takes all articles that pass the filter: ``whole`` says so, ``shortlisted``
+    how many these are, and ``node_ids`` is null.
     """
     roots = nodes.where(F.col("node_ord") == 0).select(
         "corpus", "node_id", F.col("root_tags").alias("tags")
@@ -412,13 +413,16 @@ def shortlist(queries: DataFrame, nodes: DataFrame, picks: DataFrame) -> DataFra
         .groupBy("run_id", "corpus", "node_id")
         .agg(F.min("ord").alias("ord"))
     )
-    sizes = usable.groupBy("run_id", "corpus").agg(F.count(F.lit(1)).alias("picked"))
+    # what a ranker picks in one reply
+    sizes = usable.groupBy("run_id", "corpus").agg(
+        F.count(F.lit(1)).alias("picked"), F.array_sort(F.collect_list(F.struct("ord", "node_id"))).alias("chosen")
+    )
     return (
         pairs.join(sizes, ["run_id", "corpus"], "left")
         .select(
             "run_id", "corpus", "route_ord", "ask",
             F.coalesce("picked", "candidates").alias("shortlisted"),
-            F.col("picked").isNull().alias("whole"),
+            F.col("picked").isNull().alias("whole"), F.transform("chosen", lambda c: c["node_id"]).alias("node_ids"),
         )
     )
 

@@ -288,21 +288,23 @@ def picks(queries):
     "ranker_shortlist",
     f"""select q.run_id, q.corpus, case when candidates > greatest(k, least(5, 2 * k)) then coalesce(nullif(picked, 0), candidates)
     else candidates end as shortlisted,
-  not (candidates > greatest(k, least(5, 2 * k)) and coalesce(picked, 0) > 0) as whole
+  not (candidates > greatest(k, least(5, 2 * k)) and coalesce(picked, 0) > 0) as whole,
+  case when candidates > greatest(k, least(5, 2 * k)) and picked > 0 then ids else '' end as node_ids
 from (select run_id, corpus, case when matched > 0 and matched < total then matched else total end as candidates,
     matched > 0 and matched < total as narrowed from o_flags) f
 join o_routed q on q.run_id = f.run_id and q.corpus = f.corpus
-left join (select p.run_id, p.corpus, count(distinct p.node_id) as picked
+left join (select run_id, corpus, count(*) as picked, string_agg(node_id, ',' order by ord, node_id) as ids
+  from (select p.run_id, p.corpus, p.node_id, min(p.ord) as ord
   from picks_in p join o_nodes n on n.corpus = p.corpus and n.node_id = p.node_id and n.node_ord = 0
   join o_routed q on q.run_id = p.run_id and q.corpus = p.corpus
   join o_flags f on f.run_id = p.run_id and f.corpus = p.corpus
   where not (f.matched > 0 and f.matched < f.total) or {_MATCH.format(terms='q.tag_terms', tags='n.root_tags')}
-  group by all) s on s.run_id = q.run_id and s.corpus = q.corpus""",
+  group by all) group by all) s on s.run_id = q.run_id and s.corpus = q.corpus""",
 )
 def ranker_shortlist(spark, sf):
     queries = queries_of(spark, sf)
     return R.shortlist(queries, assets.nodes(spark, sf), picks(queries)).select(
-        "run_id", "corpus", "shortlisted", "whole"
+        "run_id", "corpus", "shortlisted", "whole", F.coalesce(F.array_join("node_ids", ","), F.lit("")).alias("node_ids")
     )
 
 
