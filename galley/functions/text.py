@@ -26,19 +26,35 @@ RUN = 64
 
 
 def running_sum(steps: Column) -> Column:
-    """Inclusive running sum of an array of ints, in blocks: work grows as n * RUN, not as its square."""
+    """Inclusive running sum of an array of ints, in blocks: work grows as n * RUN, not as its square.
+
+    What is used inside a lambda is bound first: an expression in its place
+    would be evaluated anew for every element.
+    """
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    blocks = F.ceil(F.size(steps) / RUN).cast("int")
-    cut = F.transform(F.sequence(F.lit(1), blocks), lambda b: F.slice(steps, (b - 1) * RUN + 1, F.lit(RUN)))
-    sums = F.transform(cut, total)
-    shifted = F.transform(
-        cut,
-        lambda block, b: let(
-            total(F.slice(sums, F.lit(1), b)),
-            lambda before: F.transform(block, lambda _, i: before + total(F.slice(block, F.lit(1), i + 1))),
-        ),
+
+    def cut(all_steps: Column) -> Column:
+        blocks = F.ceil(F.size(all_steps) / RUN).cast("int")
+        return F.transform(
+            F.sequence(F.lit(1), blocks), lambda b: F.slice(all_steps, (b - 1) * RUN + 1, F.lit(RUN))
+        )
+
+    def shifted(parts: Column, sums: Column) -> Column:
+        return F.transform(
+            parts,
+            lambda block, b: let(
+                total(F.slice(sums, F.lit(1), b)),
+                lambda before: F.transform(block, lambda _, i: before + total(F.slice(block, F.lit(1), i + 1))),
+            ),
+        )
+
+    return let(
+        steps,
+        lambda s: F.when(
+            F.size(s) > 0,
+            let(cut(s), lambda parts: let(F.transform(parts, total), lambda sums: F.flatten(shifted(parts, sums)))),
+        ).otherwise(F.array().cast("array<int>")),
     )
-    return F.when(F.size(steps) > 0, F.flatten(shifted)).otherwise(F.array().cast("array<int>"))
 
 
 def strip(c: Column) -> Column:
