@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.functions.text import let
+
 #: Parts of a text a wrapped sentence may have.
 MOST_LINES = 6
 #: Every known sentence has one of these words, so other texts are not cut up.
@@ -120,22 +122,28 @@ def normal(sentence: Column) -> Column:
 
 def found_sentences(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order of place."""
-    parts = F.split(text, r"(?<=[.!?])\s+|\n", -1)
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, name)])
 
-    def from_part(_: Column, i: Column) -> Column:
+    def from_part(parts: Column, i: Column) -> Column:
         taken = []
         for k in range(MOST_LINES, 0, -1):
-            joined = F.array_join(F.slice(parts, i + 1, F.lit(k)), "\n")
             # no sentence end between the parts
-            whole = (F.size(parts) >= i + k) & ~joined.rlike(r"[.!?]\s*\n")
-            taken.append(F.when(whole, known[normal(joined)]))
+            found = let(
+                F.array_join(F.slice(parts, i + 1, F.lit(k)), "\n"),
+                lambda joined: F.when(~joined.rlike(r"[.!?]\s*\n"), known[normal(joined)]),
+            )
+            taken.append(F.when(F.size(parts) >= i + k, found))
         return F.coalesce(*taken)
 
-    # a run of parts can only be known if its first part is not blank
-    starts = F.transform(parts, lambda p, i: F.when(p.rlike(r"\w"), from_part(p, i)))
+    def names(parts: Column) -> Column:
+        # a run of parts can only be known if its first part is not blank
+        starts = F.transform(parts, lambda p, i: F.when(p.rlike(r"\w"), from_part(parts, i)))
+        return F.filter(starts, lambda x: x.isNotNull())
+
+    # the parts are bound once: an expression inside a lambda is evaluated for every element
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(MENTION), F.filter(starts, lambda x: x.isNotNull())).otherwise(none)
+    cut = let(F.split(text, r"(?<=[.!?])\s+|\n", -1), names)
+    return F.when(text.rlike(MENTION), cut).otherwise(none)
 
 
 def apply_rules(ids: Column) -> Column:

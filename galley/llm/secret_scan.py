@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.functions.text import running_sum
+from galley.functions.text import let, running_sum
 
 #: The patterns of the base kinds, in order. A run is matched whole and judged by length.
 ASSIGN = (
@@ -146,12 +146,18 @@ def p_value(b: Column) -> Column:
     variance_runs = (mean_runs - 1.0) * (mean_runs - 2.0) / (n - 1.0)
     run = F.when(variance_runs > 0, _normal_tail((runs - mean_runs) / F.sqrt(variance_runs))).otherwise(F.lit(0.0))
 
-    mean = total(values) / n
-    variance = total(F.transform(values, lambda v: (v - mean) * (v - mean)))
-    lagged = total(F.zip_with(before, after, lambda x, y: (x - mean) * (y - mean)))
-    serial = F.when(
-        variance > 0, _normal_tail((lagged / variance + 1.0 / n) * F.sqrt(n))
-    ).otherwise(F.lit(0.0))
+    # the mean is bound, as it is used for every symbol
+    centred = lambda mean: F.transform(values, lambda v: v - mean)
+    gaps = lambda c: F.struct(
+        total(F.transform(c, lambda v: v * v)).alias("variance"),
+        total(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda x, y: x * y)).alias("lagged"),
+    )
+    serial = let(
+        let(let(total(values) / n, centred), gaps),
+        lambda g: F.when(
+            g["variance"] > 0, _normal_tail((g["lagged"] / g["variance"] + 1.0 / n) * F.sqrt(n))
+        ).otherwise(F.lit(0.0)),
+    )
     least = F.least(uniform, run, serial)
     return 1.0 - F.pow(1.0 - least, F.lit(3.0))
 

@@ -67,3 +67,12 @@ def test_tables_are_consistent(spark):
 
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_long_text_stays_linear(spark):
+    import time
+
+    text = "word here.\n" * 20_000 + "Released under the MIT License.\n" + "line\n" * 20_000
+    start = time.time()
+    got = L.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert time.time() - start < 30 and got.licences == ["MIT"]

@@ -142,3 +142,17 @@ def test_stage_masks_and_counts(spark):
     got = {r.doc_id: r for r in S.secrets_stage(spark, docs, "").collect()}
     assert got[1].text == "a [SECRET] b" and got[1].n_chars == 12
     assert tuple(got[2]) == (2, None, None, None, 5) and tuple(got[3]) == (3, "clean", "en", "s", 5)
+
+
+def test_long_tokens_and_many_matches_stay_linear(spark):
+    import time
+
+    rnd = random.Random(9)
+    blob = noise(rnd, S.ALPHABETS["base64"], 200_000)
+    many = " ".join(f"token=abcdefgh{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, blob), (2, many)], "doc_id bigint, text string").coalesce(2)
+    start = time.time()
+    got = {r.doc_id: r for r in S.with_spans(docs).collect()}
+    assert time.time() - start < 60
+    assert [tuple(s) for s in got[2].spans if s["kind"] < 3] == base_spans(many)
+    assert sum(s["end"] - s["start"] for s in got[1].spans) >= 0
