@@ -164,10 +164,8 @@ def _front_cols(df, *more):
 @query("src_articles", f"select {_FRONT_OUT}, lang from o_parsed")
 def src_articles(spark, sf):
     path = files.scratch(spark, "articles")
-    inputs.articles(spark, sf).select("raw", "corpus", "lang", "slug").write.partitionBy(
-        "corpus", "lang", "slug"
-    ).text(path)
-    read = files.read_partitioned_articles(spark, path)
+    files.write_article_archive(inputs.articles(spark, sf), path)
+    read = files.read_article_archive(spark, path)
     return _front_cols(C.frontmatter(read), "lang")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -22,26 +22,38 @@ def scratch(spark: SparkSession, name: str) -> str:
 # ---- articles -------------------------------------------------------------
 
 
+def articles_of(rows: DataFrame, path: Column, text: Column, corpus: Column | None = None) -> DataFrame:
+    """Articles from ``<lang>/<slug>.md`` paths and their texts; the corpus is that of the language by default."""
+    lang = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    return rows.select(
+        (F.concat(F.lit("corpus_"), lang) if corpus is None else corpus).alias("corpus"),
+        lang.alias("lang"),
+        F.regexp_extract(path, r"([^/]+)\.md$", 1).alias("slug"),
+        text.alias("raw"),
+    )
+
+
 def read_articles(spark: SparkSession, path: str, corpus_prefix: str = "corpus_") -> DataFrame:
     """``<path>/<lang>/<slug>.md``, one row per file; dot-files are skipped by Spark."""
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(
         path, wholetext=True
     )
-    file = F.col("_metadata.file_path")
     # the file path comes percent-encoded; "+" is a plain character in it
-    stem = F.url_decode(F.replace(F.regexp_extract(file, r"([^/]+)\.md$", 1), F.lit("+"), F.lit("%2B")))
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     lang = F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)
-    return read.select(
-        F.concat(F.lit(corpus_prefix), lang).alias("corpus"),
-        lang.alias("lang"),
-        stem.alias("slug"),
-        F.col("value").alias("raw"),
-    )
+    return articles_of(read, file, F.col("value"), F.concat(F.lit(corpus_prefix), lang))
+
+
+def write_article_archive(articles: DataFrame, path: str) -> None:
+    """Articles as (path, raw) rows, ``<corpus>/<lang>/<slug>.md``: many in a file, so the files stay few."""
+    file = F.concat(F.concat_ws("/", "corpus", "lang", "slug"), F.lit(".md"))
+    articles.select(file.alias("path"), "raw").write.parquet(path)
 
 
-def read_partitioned_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Article files in ``corpus=/lang=/slug=`` folders, one row per file."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw")
+def read_article_archive(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_article_archive`` wrote, by the same rules as article files."""
+    corpus = F.regexp_extract("path", r"^([^/]+)/", 1)
+    return articles_of(spark.read.parquet(path), F.col("path"), F.col("raw"), corpus)
 
 
 # ---- trees ----------------------------------------------------------------
