@@ -397,22 +397,25 @@ def similarity_components(
     rows = cut_lineage(incidence(docs, id_col, text_col, width, percent))
     members = cut_lineage(_meetings(rows))
     labels = _node_components(docs, rows, members, id_col, text_col, width, percent)
-    # a node's own documents are joined by a partial aggregate: copies send one row per task
-    named = rows.select("doc_id", "n_shingles", "node")
-    with_label = named.join(labels, "node", "left") if labels is not None else named.withColumn("label", F.lit(None).cast("bigint"))
-    with_label = with_label.withColumn("label", F.coalesce("label", "node"))
-    least = with_label.where("label is not null").groupBy("label").agg(
-        F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("copies")
+    # nodes with several documents or with links, their documents and components by partial aggregates
+    own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    placed = own.withColumn("label", F.lit(None).cast("bigint")) if labels is None else own.join(labels, "node", "left")
+    placed = stored(placed.where("copies > 1 or label is not null"))
+    of_label = stored(placed.where("label is not null").groupBy("label").agg(F.min("first").alias("least")))
+    named = placed.join(_small(of_label), "label", "left").select(
+        "node", F.when(F.col("label").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("named"), F.lit(True).alias("found")
     )
-    many = least.where("copies > 1").drop("copies")
-    joined = with_label.join(many, "label", "left")
+    joined = rows.select("doc_id", "n_shingles", "node").join(_small(stored(named)), "node", "left")
     return joined.select(
-        "doc_id", "n_shingles",
-        F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        "node",
+        "doc_id", "n_shingles", F.when(F.col("found"), F.col("named")).otherwise(F.col("doc_id")).alias("component_id"), "node"
     )
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it is proven small; otherwise Spark splits skewed keys."""
+    return F.broadcast(table) if fits(table, BROADCAST_IDS) else table
+
+
 def _node_components(docs, rows, members, id_col, text_col, width, percent) -> DataFrame | None:
     """(node, label) of all nodes that are linked to another."""
     if members.isEmpty():
@@ -420,9 +423,7 @@ def _node_components(docs, rows, members, id_col, text_col, width, percent) -> D
     met = members.select("node").distinct()
     wanted = rows.where("keys is not null").join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut_lineage(wanted)
-    ids = wanted.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-    if fits(ids, BROADCAST_IDS):
-        ids = F.broadcast(ids)
+    ids = _small(wanted.select(F.col("doc_id").alias("_id")))
     some = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(
         ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
     )
@@ -466,9 +467,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     leaves = F.col("node").isNotNull() & (F.col("component_id") != F.col("doc_id"))
     by_id = rows.groupBy("doc_id").agg(F.min(leaves).alias("_leaves"), (F.count(F.lit(1)) > 1).alias("_repeats"))
     marked = cut_lineage(by_id.where("_leaves or _repeats"))
-    other = marked.withColumnRenamed("doc_id", "_id")
-    if fits(other, BROADCAST_IDS):
-        other = F.broadcast(other)
+    other = _small(marked.withColumnRenamed("doc_id", "_id"))
     kept = docs.join(other, F.col("doc_id") == F.col("_id"), "left").where(~F.coalesce(F.col("_leaves"), F.lit(False)))
     repeats = F.coalesce(F.col("_repeats"), F.lit(False))
     rest = [c for c in docs.columns if c != "doc_id"]
