@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from galley import fixed
 from galley.functions import text as T
 from galley.operators import checks
-from galley.operators.scale import join_skewed
+from galley.operators.scale import catalogue, join_skewed
 
 RESULT = (
     "struct<kpi_id:string,name:string,cluster:string,category:string,weight:string,monitoring:string,"
@@ -285,13 +285,13 @@ def maturity(results: Column) -> Column:
     return T.let(machine, rate)
 
 
-def evaluate(drafts: DataFrame, replies: DataFrame | None = None, kpis: Sequence[dict] | None = None) -> DataFrame:
+def evaluate(drafts: DataFrame, replies: DataFrame | None = None, kpis: Sequence[dict] | DataFrame | None = None) -> DataFrame:
     """The whole evaluation, one row per draft.
 
     ``replies`` holds run_id, rubric, value, reason and seq. A draft stopped
     by tier 1 gets no judge results.
     """
-    kpis = seed_kpis() if kpis is None else kpis
+    kpis = seed_kpis() if kpis is None else catalogue(kpis, "ord")
     # the texts end here: what is joined with the replies are results, a few hundred bytes a draft
     first = checks.features(drafts).select(
         "run_id", "channel", "origin", "strict_mode", tier1(kpis).alias("r1"), tier3(kpis).alias("r3")

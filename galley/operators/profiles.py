@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galley import fixed
 from galley.functions import text as T
-from galley.operators.scale import join_small
+from galley.operators.scale import catalogue, join_small
 
 BUNDLE = "array<struct<id:string,name:string,category:string,reason:string>>"
 
@@ -59,8 +59,9 @@ def match_experts(sector: Column, keywords: Column, profiles: Sequence[dict] = f
     )
 
 
-def select_profiles(intents: DataFrame, profiles: Sequence[dict] = fixed.PROFILES) -> DataFrame:
-    """Add the matched profiles. The catalogue is configuration, so this is a projection."""
+def select_profiles(intents: DataFrame, profiles: Sequence[dict] | DataFrame = fixed.PROFILES) -> DataFrame:
+    """Add the matched profiles. The catalogue is configuration, so this is a projection; a table is taken by id."""
+    profiles = catalogue(profiles, "id")
     return intents.withColumns(
         {
             "workflow": match_workflow(F.col("task_codes"), profiles),

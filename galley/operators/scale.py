@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,6 +61,20 @@ def join_skewed(
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
+#: Rows a catalogue (KPIs, profiles) has at most.
+CATALOGUE_ROWS = 10_000
+
+
+def catalogue(entries: Sequence[dict] | DataFrame, order: str) -> list[dict]:
+    """A catalogue as a list, as it is compiled into column expressions; a table must be proven small."""
+    if not isinstance(entries, DataFrame):
+        return list(entries)
+    rows = entries.orderBy(order).limit(CATALOGUE_ROWS + 1).collect()
+    if len(rows) > CATALOGUE_ROWS:
+        raise ValueError(f"a catalogue has at most {CATALOGUE_ROWS} rows")
+    return [r.asDict(recursive=True) for r in rows]
+
+
 def top_rows(df: DataFrame, by: list[str], order: list[Column], limit: int, rank: str) -> DataFrame:
     """The first ``limit`` rows per group.
 

@@ -181,6 +181,13 @@ def src_kpis(spark, sf):
     return rows.groupBy("weight", "monitoring").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("evaluate_from_file", "select run_id, passed, failed_blocking from o_eval")
+def evaluate_from_file(spark, sf):
+    """The gate driven by a catalogue file."""
+    done = G.evaluate(checks_queries.drafts(spark, sf), replies(spark, sf), _kpi_file(spark))
+    return done.select("run_id", "passed", F.array_join("failed_blocking", ",").alias("failed_blocking"))
+
+
 @query("applicable_kpis", "select run_id, kpi_id from o_applicable")
 def applicable_kpis(spark, sf):
     rows = G.applicable_kpis(inputs.drafts_base(spark, sf).select("run_id", "origin", "channel"), _kpi_file(spark))

@@ -55,3 +55,13 @@ def test_profiles_coerce_and_reject(spark, tmp_path):
     assert rows["w"].codes == ["T1_DRAFT"] and rows["w"].knowledge == ["x", "y"] and rows["w"].skills == []
     assert rows["e"].sector == "S" and rows["e"].keywords == ["k"]
     assert [r.id for r in bad.collect()] == ["q"]
+
+
+def test_a_changed_profile_table_changes_the_match(spark):
+    from galley.operators import profiles as P
+
+    intents = spark.createDataFrame([(["T1_DRAFT"], None, [])], "task_codes array<string>, sector string, topic_keywords array<string>")
+    table = spark.createDataFrame([("w", "W", "workflow", ["T1_DRAFT"], None, []), ("a", "A", "workflow", ["T1_DRAFT"], None, [])],
+                                  "id string, name string, category string, codes array<string>, sector string, keywords array<string>")
+    assert [p.id for p in P.select_profiles(intents, table).first().workflow] == ["a", "w"]
+    assert [p.id for p in P.select_profiles(intents, table.where("id = 'w'")).first().workflow] == ["w"]
