@@ -7,10 +7,11 @@ group of near copies stays, secrets are masked, and the rest is packed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm.ngram_join import near_duplicates_stage
+from galley.llm.ngram_join import STAGE_PERCENT, STAGE_WIDTH, near_duplicates_stage
 from galley.llm.packing import packing_stage
 from galley.llm.rule_ensemble import quality_stage
 from galley.llm.secret_scan import secrets_stage
@@ -20,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality_stage),
-    ("near_duplicates", near_duplicates_stage),
+    ("near_duplicates", partial(near_duplicates_stage, width=STAGE_WIDTH, percent=STAGE_PERCENT)),
     ("secrets", secrets_stage),
     ("packing", packing_stage),
 ]

@@ -1,4 +1,4 @@
-"""Documents whose sets of word n-grams have a Jaccard similarity of 0.9 or more.
+"""Documents whose sets of word n-grams have a Jaccard similarity of 0.9 or more (the pipeline: 5 words, 0.8).
 
 The join is a product of the sparse document by n-gram matrix with its own
 transpose, by blocks of columns. The columns (n-grams, as 64-bit hashes) are
@@ -49,6 +49,9 @@ from galley.sources.files import scratch
 
 WIDTH = 3
 PERCENT = 90
+#: The pipeline's rule for near copies; the one above is the contract of the op10 query.
+STAGE_WIDTH = 5
+STAGE_PERCENT = 80
 #: Growth, per round, of the number of members all others of a group are compared with (one at first).
 MORE_PIVOTS = 8
 #: Ids (8 bytes each) up to which a list of documents may be broadcast.
@@ -456,14 +459,17 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates_stage(
+    spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = WIDTH, percent: int = PERCENT
+) -> DataFrame:
     """Pipeline stage: one document of each component, that of the smallest id.
 
+    The pipeline calls it with ``STAGE_WIDTH`` and ``STAGE_PERCENT``.
     Documents without n-grams stay, and so do rows with a null id, as no
     decision can be carried to them. Rows that repeat an id are one document:
     if it stays, the smallest of its rows is kept.
     """
-    rows = similarity_components(docs).where("doc_id is not null")
+    rows = similarity_components(docs, width=width, percent=percent).where("doc_id is not null")
     leaves = F.col("node").isNotNull() & (F.col("component_id") != F.col("doc_id"))
     by_id = rows.groupBy("doc_id").agg(F.min(leaves).alias("_leaves"), (F.count(F.lit(1)) > 1).alias("_repeats"))
     marked = cut_lineage(by_id.where("_leaves or _repeats"))
