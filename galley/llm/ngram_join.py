@@ -396,7 +396,10 @@ def _next_meetings(open_rows: DataFrame, arrays: DataFrame, percent: int) -> Dat
 def similarity_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and its node (null without n-grams)."""
+    """One row per document: doc_id, n_shingles, component_id, and its node and label (null without n-grams).
+
+    Rows of one label are a component; its id names another component too if rows repeat it.
+    """
     rows = cut_lineage(incidence(docs, id_col, text_col, width, percent))
     members = cut_lineage(_meetings(rows))
     labels = _node_components(docs, rows, members, id_col, text_col, width, percent)
@@ -406,11 +409,13 @@ def similarity_components(
     placed = stored(placed.where("copies > 1 or label is not null"))
     of_label = stored(placed.where("label is not null").groupBy("label").agg(F.min("first").alias("least")))
     named = placed.join(_small(of_label), "label", "left").select(
-        "node", F.when(F.col("label").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("named"), F.lit(True).alias("found")
+        "node", F.when(F.col("label").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("named"),
+        F.coalesce("label", "node").alias("label"), F.lit(True).alias("found")
     )
     joined = rows.select("doc_id", "n_shingles", "node").join(_small(stored(named)), "node", "left")
     return joined.select(
-        "doc_id", "n_shingles", F.when(F.col("found"), F.col("named")).otherwise(F.col("doc_id")).alias("component_id"), "node"
+        "doc_id", "n_shingles", F.when(F.col("found"), F.col("named")).otherwise(F.col("doc_id")).alias("component_id"),
+        "node", F.coalesce("label", "node").alias("label")
     )
 
 
@@ -466,8 +471,9 @@ def near_duplicates_stage(
 
     The pipeline calls it with ``STAGE_WIDTH`` and ``STAGE_PERCENT``.
     Documents without n-grams stay, and so do rows with a null id, as no
-    decision can be carried to them. Rows that repeat an id are one document:
-    if it stays, the smallest of its rows is kept.
+    decision can be carried to them. Rows that repeat an id are decided one by
+    one, by their sets; a component keeps one set of its id, and of rows of
+    equal id and equal set the smallest is kept.
     """
     rows = similarity_components(docs, width=width, percent=percent).where("doc_id is not null")
     leaves = F.col("node").isNotNull() & (F.col("component_id") != F.col("doc_id"))
@@ -476,9 +482,31 @@ def near_duplicates_stage(
     other = _small(marked.withColumnRenamed("doc_id", "_id"))
     kept = docs.join(other, F.col("doc_id") == F.col("_id"), "left").where(~F.coalesce(F.col("_leaves"), F.lit(False)))
     repeats = F.coalesce(F.col("_repeats"), F.lit(False))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    first = kept.where(repeats).groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in rest if c != "text"])).alias("_row"))
-    return kept.where(~repeats).select(*docs.columns).unionByName(first.select("doc_id", "_row.*"))
+    once = kept.where(~repeats).select(*docs.columns)
+    again = marked.where("_repeats").select("doc_id")
+    if again.isEmpty():
+        return once
+    # ids that rows repeat: the sets that stay, and one row of each
+    stays = rows.join(_small(again), "doc_id", "left_semi").where(~leaves).groupBy("doc_id", "label").agg(F.min("node").alias("node"))
+    sets = _small(cut_lineage(stays.select(F.col("doc_id").alias("_id"), F.col("node").alias("_set"))))
+    named = _with_node(kept.where(repeats).select(*docs.columns), width)
+    of_sets = named.join(sets, (F.col("doc_id") == F.col("_id")) & F.col("_node").eqNullSafe(F.col("_set")), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = of_sets.groupBy("doc_id", "_node").agg(F.min(F.struct("text", *rest)).alias("_row"))
+    return once.unionByName(first.select("doc_id", "_row.*"))
+
+
+def _with_node(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` and the node of each text, ``_node``."""
+    at = docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (gram_set(t.as_py(), width) for t in batch.column(at))
+            nodes = pa.array([node_of(g) if len(g) else None for g in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "_node"])
+
+    return docs.mapInArrow(rows, docs.withColumn("_node", F.lit(None).cast("bigint")).schema)
 
 
 OP10_SQL = r"""

@@ -71,3 +71,20 @@ def test_stage_equals_brute_force(spark):
     texts = [t for _, t in corpus(4)] + [t for pair in between() for t in pair]
     rows = [*zip(random.Random(6).sample(range(1000), len(texts)), texts, strict=True)]
     assert sorted(r.doc_id for r in stage(spark, rows)) == kept_by_hand(rows)
+
+
+def test_rows_that_repeat_an_id_are_decided_by_their_sets(spark):
+    word = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    a, b, c, d = word("a"), word("b"), word("c"), word("d")
+    rows = [
+        (1, a), (2, a + " end"), (2, b),  # the copy leaves, the other text of its id does not
+        (3, c), (3, d), (4, c + " end"), (5, d),  # an id that names two components
+        (6, word("e")), (6, word("E")), (6, word("e") + " end"),  # one set twice, and a near copy of it
+        (7, ""), (7, None), (7, " "), (7, word("f")), (8, a), (8, b + " end"),
+        (None, a), (None, None),
+    ]
+    got = sorted(((r.doc_id, frozenset(grams_of(r.text))) for r in stage(spark, rows)), key=str)
+    e = next(s for i, s in got if i == 6)
+    assert e in (grams_of(word("e")), grams_of(word("e") + " end"))
+    want = [(1, a), (2, b), (3, c), (3, d), (7, None), (7, word("f")), (None, a), (None, None)]
+    assert got == sorted([*((i, frozenset(grams_of(t))) for i, t in want), (6, e)], key=str)
