@@ -119,7 +119,7 @@ def battery(token: Column, encoding: Column) -> Column:
     k = of(lambda a: F.lit(float(len(a))))
     squares = of(
         lambda a: F.aggregate(
-            F.array(*[F.length(token) - F.length(F.replace(token, F.lit(c), F.lit(""))) for c in a]),
+            F.array(*[(F.length(token) - F.length(F.replace(token, F.lit(c), F.lit("")))).cast("double") for c in a]),
             F.lit(0.0), lambda s, c: s + c * c,
         )
     )

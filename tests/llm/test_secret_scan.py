@@ -156,3 +156,13 @@ def test_long_tokens_and_many_matches_stay_linear(spark):
     assert time.time() - start < 60
     assert [tuple(s) for s in got[2].spans if s["kind"] < 3] == base_spans(many)
     assert sum(s["end"] - s["start"] for s in got[1].spans) >= 0
+
+
+def test_very_long_runs_and_tokens_end_without_overflow(spark):
+    rnd = random.Random(9)
+    token = "".join(rnd.choices(S.ALPHABETS["base64"], k=4_000_000))
+    rows = [(1, "a" * 47_000), (2, "A" * 300_000), (3, "key " + token + " end"), (4, "f" * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.spans for r in S.with_spans(docs).collect()}
+    assert got[1][0]["kind"] == 2 and got[1][0]["end"] == 47_000 and got[2] == []
+    assert [tuple(s) for s in got[3] if s["kind"] == 3 and s["end"] - s["start"] > 3_900_000] == [(4, 3, 4_000_004)]
