@@ -35,7 +35,7 @@ collisions (about one in 10^7 pairs of documents of a million words).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -403,6 +403,11 @@ def similarity_components(
     rows = cut_lineage(incidence(docs, id_col, text_col, width, percent))
     members = cut_lineage(_meetings(rows))
     labels = _node_components(docs, rows, members, id_col, text_col, width, percent)
+    return named_components(rows, labels)
+
+
+def named_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """One row per document (doc_id, node, n_shingles): its component's id, and its node and label."""
     # nodes with several documents or with links, their documents and components by partial aggregates
     own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     placed = own.withColumn("label", F.lit(None).cast("bigint")) if labels is None else own.join(labels, "node", "left")
@@ -428,22 +433,37 @@ def _node_components(docs, rows, members, id_col, text_col, width, percent) -> D
     """(node, label) of all nodes that are linked to another."""
     if members.isEmpty():
         return None
+    sent = rows.where("keys is not null").select("doc_id", "node")
+    return resolved(members, sets_of(docs, sent, members, id_col, text_col, width), percent)
+
+
+def sets_of(docs: DataFrame, sent: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, grams) of all nodes of ``members``, each from one of its documents in ``sent`` (doc_id, node)."""
     met = members.select("node").distinct()
-    wanted = rows.where("keys is not null").join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = sent.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut_lineage(wanted)
     ids = _small(wanted.select(F.col("doc_id").alias("_id")))
     some = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(
         ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
     )
     arrays = gram_arrays(some, "doc_id", "text", width).join(met, "node", "left_semi").dropDuplicates(["node"])
-    arrays = cut_lineage(arrays.select("node", "grams"))
+    return cut_lineage(arrays.select("node", "grams"))
 
+
+def resolved(
+    members: DataFrame, arrays: DataFrame, percent: int, likely: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame | None:
+    """(node, label) of the components that links between members (key, node, n_shingles) of a key make.
+
+    ``likely`` may leave out pairs (a, b) that need no exact count.
+    """
     links: DataFrame | None = None
     labels: DataFrame | None = None
     meetings, pivots = members.withColumn("scope", F.lit(0).cast("bigint")), 1
     while True:
         ranked = stored(_ranked(meetings))
-        found = stored(_linked(_pairs(ranked, labels, pivots, percent), arrays, percent))
+        pairs = _pairs(ranked, labels, pivots, percent)
+        found = stored(_linked(likely(pairs) if likely else pairs, arrays, percent))
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links)
