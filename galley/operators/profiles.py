@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from galley import fixed
 from galley.functions import text as T
-from galley.operators.scale import catalogue, join_small
+from galley.operators.scale import catalogue, in_ranges, join_small
 
 BUNDLE = "array<struct<id:string,name:string,category:string,reason:string>>"
 
@@ -135,13 +137,8 @@ def clean_list(items: Column) -> Column:
     )
 
 
-def judge_changes(catalogue: DataFrame, changes: DataFrame) -> DataFrame:
-    """Outcome of each change: applied, invalid, conflict, rejected or not_found.
-
-    Changes hold change_id, op (create, update or delete), target_category and
-    target_id, and the new category, id, name, description and keywords. Of
-    several creates of one id, the first is judged and the others conflict.
-    """
+def _checked(changes: DataFrame) -> DataFrame:
+    """Changes with cleaned texts, the id they are about (``_key``), and what can be said without the catalogue (``_static``)."""
     c = changes.withColumns(
         {n: T.strip(F.col(n)) for n in ("id", "name", "description")}
     ).withColumn("keywords", clean_list(F.col("keywords")))
@@ -153,36 +150,105 @@ def judge_changes(catalogue: DataFrame, changes: DataFrame) -> DataFrame:
         & F.col("category").isin(*fixed.PROFILE_CATEGORIES),
         F.lit(False),
     )
-    created = c.withColumns({"valid": valid | (F.col("op") == "delete")})
-    # the first valid create of an id, found by a partial aggregate, not a sorted group
-    first = (
-        created.where((F.col("op") == "create") & F.col("valid"))
-        .groupBy("id")
-        .agg(F.min("change_id").alias("first_change"))
+    moved = (F.col("op") == "update") & ~(
+        F.col("category").eqNullSafe(F.col("target_category")) & F.col("id").eqNullSafe(F.col("target_id"))
     )
-    have = catalogue.select(F.col("id").alias("_key"), F.col("category").alias("have_category"))
-    key = F.when(F.col("op") == "create", F.col("id")).otherwise(F.col("target_id"))
-    # many changes may name one id, so the change feed stays put when the other sides are small
-    joined = join_small(
-        join_small(created.withColumn("_key", key), have, ["_key"], "left"), first, ["id"], "left"
-    )
-    known = F.col("have_category").isNotNull()
-    same_place = F.coalesce(F.col("have_category") == F.col("target_category"), F.lit(False))
-    outcome = (
-        F.when(~F.col("valid"), "invalid")
-        .when(
-            F.col("op") == "create",
-            F.when(known | (F.col("change_id") != F.col("first_change")), "conflict").otherwise("applied"),
-        )
-        .when(
-            (F.col("op") == "update")
-            & ((F.col("category") != F.col("target_category")) | (F.col("id") != F.col("target_id"))),
-            "rejected",
+    return c.withColumns({
+        "_key": F.when(F.col("op") == "create", F.col("id")).otherwise(F.col("target_id")),
+        "_static": F.when(~(valid | (F.col("op") == "delete")), "invalid").when(moved, "rejected"),
+    })
+
+
+#: An id's place: in no category, or in the one of this number from 1.
+_PLACES = {c: i + 1 for i, c in enumerate(fixed.PROFILE_CATEGORIES)}
+
+
+def _step(op: str, target: int, place: int) -> tuple[str, int]:
+    """Outcome of a change of an id in ``place``, and the place after it."""
+    if op == "create":
+        return ("conflict", place) if place else ("applied", target)
+    if not target or place != target:
+        return "not_found", place
+    return "applied", (0 if op == "delete" else place)
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
+
+
+def _border_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a range of changes makes of the places of its first and its last id, for every place before it."""
+    part, first, last = None, None, None
+    for batch in batches:
+        for part, key, static, op, target in _columns(batch, "_part", "_key", "_static", "op", "_target"):
+            if last is None or last[0] != key:
+                last = [key, list(range(len(_PLACES) + 1))]
+                first = first or last
+            if static is None:
+                last[1] = [_step(op, target, p)[1] for p in last[1]]
+    if first:
+        out = [first] if first is last else [first, last]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(out), pa.int32()), pa.array([k for k, _ in out]).cast(pa.string()), pa.array([m for _, m in out])],
+            names=["part", "key", "places"],
         )
-        .when(same_place, "applied")
-        .otherwise("not_found")
-    )
-    return joined.withColumn("outcome", outcome).drop("_key", "have_category", "first_change", "valid")
+
+
+def judge_changes(catalogue: DataFrame, changes: DataFrame) -> DataFrame:
+    """Outcome of each change, one after the other: applied, invalid, conflict, rejected or not_found.
+
+    Changes hold change_id, op (create, update or delete), target_category and
+    target_id, and the new category, id, name, description and keywords. They
+    take effect in the order of change_id: an id that was deleted may be created
+    again. Changes of equal change_id follow in the order of op.
+
+    The feed is cut into ranges of (id, change_id). What a range does to an id is
+    a function of the id's place before it (in no category, or in one of them),
+    and such functions compose; so an id with most of all changes is judged by
+    many tasks, each starting from the place that the ranges before lead to. Only
+    an id on the border of two ranges needs that: two small functions per range.
+    """
+    have = catalogue.select(F.col("id").alias("_key"), F.col("category").alias("_have"))
+    number = lambda c: F.coalesce(*[F.when(F.col(c) == name, n) for name, n in _PLACES.items()], F.lit(0))
+    target = F.when(F.col("op") == "create", number("category")).otherwise(number("target_category"))
+    # many changes may name one id, so the change feed stays put when the catalogue is small
+    placed = join_small(_checked(changes), have, ["_key"], "left").withColumns({"_place": number("_have"), "_target": target})
+    cut = in_ranges(placed, ["_key"], ["change_id", "op"])
+    columns = ["_part", "_key", "_static", "op", "_target", "_place"]
+    borders = cut.select(*columns).mapInArrow(_border_ids, "part int, key string, places array<bigint>").orderBy("part").collect()
+
+    # per range: the function of all ranges before on the id it begins with
+    carried: dict[int, list[int]] = {}
+    key, places = None, None
+    by_part: dict[int, list] = {}
+    for r in borders:
+        by_part.setdefault(r.part, []).append((r.key, r.places))
+    for part, ids in sorted(by_part.items()):
+        for at, (k, p) in enumerate(ids):
+            if places is not None and k == key:
+                if at == 0:
+                    carried[part] = places
+                places = [p[x] for x in places]
+            else:
+                key, places = k, p
+
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, place, started = None, 0, False
+        for batch in batches:
+            found = []
+            for part, key, static, op, target, before in _columns(batch, *columns):
+                if not started or key != now:
+                    place = carried[part][before] if not started and part in carried else before
+                    now, started = key, True
+                outcome = static
+                if static is None:
+                    outcome, place = _step(op, target, place)
+                found.append(outcome)
+            yield batch.append_column("outcome", pa.array(found, pa.string()))
+
+    schema = S.StructType([*cut.schema.fields, S.StructField("outcome", S.StringType())])
+    private = ["_key", "_static", "_have", "_place", "_target", "_part"]
+    return cut.mapInArrow(outcomes, schema).drop(*private)
 
 
 def apply_changes(catalogue: DataFrame, judged: DataFrame) -> DataFrame:

@@ -350,23 +350,55 @@ CHANGES = {
 }
 inputs.as_view("catalogue_in", "documents", CATALOGUE, "doc_id % 4 <> 3")
 inputs.as_view("changes_in", "documents", CHANGES)
-view(
-    "o_judged",
-    f"""select c.*, case when not valid then 'invalid'
-    when op = 'create' then case when h.id is not null or change_id <> f.first then 'conflict' else 'applied' end
-    when op = 'update' and (c.category <> target_category or c.id <> target_id) then 'rejected'
-    when h.category = target_category then 'applied' else 'not_found' end as outcome
-from (select *, op = 'delete' or (length(id) between 1 and 80 and regexp_matches(id, '^[a-z][a-z0-9_]*$')
+
+def _judged_sql(changes: str, catalogue: str) -> str:
+    """The changes of each id one by one: a walk from change to change that carries the id's category."""
+    return f"""with recursive c as (
+  select *, op = 'delete' or (coalesce(length(id), 0) between 1 and 80 and regexp_matches(id, '^[a-z][a-z0-9_]*$')
     and length(name) between 1 and 160 and length(description) between 1 and 2000
     and category in ('workflow', 'domain_expert')) as valid
   from (select change_id, op, target_category, target_id, category, trim(id) as id, trim(name) as name,
-    {Q.strip('description')} as description, trim(word) as word from changes_in)) c
-left join catalogue_in h on h.id = case when op = 'create' then c.id else target_id end
-left join (select trim(id) as id, min(change_id) as first from changes_in
-  where op = 'create' and regexp_matches(trim(id), '^[a-z][a-z0-9_]*$') and length(trim(name)) between 1 and 160
-    and length({Q.strip('description')}) between 1 and 2000 and category in ('workflow', 'domain_expert') group by 1) f
-  on f.id = c.id""",
+    {Q.strip('description')} as description, trim(word) as word from {changes})
+), k as (
+  select *, case when op = 'create' then id else target_id end as key,
+    case when not valid then 'invalid' when op = 'update' and (category <> target_category or id <> target_id) then 'rejected' end as static
+  from c
+), n as (select *, row_number() over (partition by key order by change_id) as rn from k),
+walk as (
+  select key, 0::BIGINT as rn, any_value(h.category) as place, null::VARCHAR as outcome from n left join {catalogue} h on h.id = n.key group by key
+  union all
+  select n.key, n.rn,
+    case when static is not null then place when op = 'create' then coalesce(place, n.category)
+      when op = 'delete' and place = target_category then null else place end,
+    case when static is not null then static when op = 'create' then case when place is null then 'applied' else 'conflict' end
+      when place = target_category then 'applied' else 'not_found' end
+  from walk join n on n.key = walk.key and n.rn = walk.rn + 1
 )
+select n.* exclude (rn, key, static), walk.outcome from n join walk using (key, rn)"""
+
+
+view("o_judged", _judged_sql("changes_in", "catalogue_in"))
+
+#: One feed in which ids come and go: a third of all changes are about one id.
+HISTORY = CHANGES | {
+    "op": "case when doc_id % 17 = 0 then 'update' when floor(doc_id / 9) % 2 = 0 then 'create' else 'delete' end",
+    "target_category": "case when doc_id % 5 = 0 then 'domain_expert' else 'workflow' end",
+    "category": "case when doc_id % 5 = 0 then 'domain_expert' else 'workflow' end",
+    "target_id": "case when doc_id % 3 = 0 then 'profile_hot' else 'profile_' || (doc_id % 7) end",
+    "id": "case when doc_id % 3 = 0 then 'profile_hot' else 'profile_' || (doc_id % 7) end",
+    "name": "case when doc_id % 29 = 0 then ' ' else 'Name ' || doc_id end",
+    "description": "'About ' || source",
+}
+inputs.as_view("history_in", "documents", HISTORY)
+view("o_history", _judged_sql("history_in", "catalogue_in"))
+
+
+@query("profile_history", "select change_id, op, id, outcome from o_history")
+def profile_history(spark, sf):
+    """Changes of ids that are created, deleted and created again."""
+    docs = inputs.spread(inputs.table(spark, sf, "documents"))
+    changes = inputs.select(docs, HISTORY).withColumn("keywords", F.array("word")).drop("word")
+    return P.judge_changes(_changes(spark, sf)[0], changes).select("change_id", "op", "id", "outcome")
 
 
 def _changes(spark, sf):
