@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions import text as T
-from galley.operators.scale import running_number, union_all
+from galley.operators.scale import number_in_ranges, union_all
 
 
 def _json(c: Column) -> Column:
@@ -101,8 +101,8 @@ def all_events(*stages: DataFrame) -> DataFrame:
 
 
 def trace(events: DataFrame, order: list[str]) -> DataFrame:
-    """Events numbered within their run in time order; one busy run is split by hour."""
-    return running_number(events, ["run_id"], F.date_trunc("hour", "ts"), order, "seq")
+    """Events numbered within their run in time order; one busy run is split into ranges, also within a second."""
+    return number_in_ranges(events, ["run_id"], order, "seq")
 
 
 def unknown_runs(asked: DataFrame, events: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galley.session import cut_lineage
+
 #: Rows up to which a side may be broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 1_000_000
 #: Copies of the smaller side in a salted join.
@@ -148,3 +150,34 @@ def running_number(df: DataFrame, by: list[str], bucket: Column, order: list[str
         .withColumn(out, F.col("_local") + F.col("_shift"))
         .drop("_bucket", "_local", "_shift")
     )
+
+
+def in_ranges(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` cut at sampled bounds into ranges of (by, order), sorted inside, with the number of the range in ``_part``.
+
+    A group of any size lies in as many ranges as its share of the rows, also if
+    all its rows have one time. The ranges are written, so later passes see the same.
+    """
+    keys = [*by, *order]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+
+
+def number_in_ranges(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """Number the rows of each group from 1 in order; a group is numbered range by range.
+
+    Rows that are equal in ``by`` and ``order`` may lie in two ranges and are
+    numbered in any order among themselves.
+    """
+    cut = in_ranges(df, by, order)
+    sizes = cut.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*by, "_part", F.sum("_n").over(before).alias("_shift")).where("_shift > 0")
+    # only groups in several ranges have a shift: one row per range
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "_part"]]
+    local = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    small = shifts.select(*[F.col(c).alias(f"_{c}") for c in [*by, "_part"]], "_shift")
+    if fits(small):
+        small = F.broadcast(small)
+    joined = cut.withColumn("_local", local).join(small, reduce(lambda a, b: a & b, same), "left")
+    return joined.withColumn(out, F.col("_local") + F.coalesce("_shift", F.lit(0))).select(*df.columns, out)

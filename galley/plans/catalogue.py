@@ -6,7 +6,7 @@ import importlib
 
 from galley.plans import registry
 
-AREAS = ("corpus", "intent", "retrieval", "checks", "evaluate", "refine", "audit", "run")
+AREAS = ("corpus", "tree", "intent", "retrieval", "checks", "evaluate", "refine", "audit", "run")
 
 
 def _load() -> None:
