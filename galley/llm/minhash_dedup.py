@@ -11,9 +11,9 @@ pair of similarity 0.2 meets once in a hundred. The shuffle carries a band's
 hash and the document's set, and a partial aggregate finds the few hashes that
 two sets share.
 
-*Verification.* A pair is counted in full only if its signatures agree on more
-numbers than a linked pair could fall short of (once in 10^12); links are
-confirmed on the full sets.
+*Verification.* A pair is counted in full only if its signatures agree on as many
+numbers as a linked pair does but once in 10^12; links are confirmed on the full
+sets.
 
 *Components.* The members of a band are compared with its most central one
 instead of with each other; as long as they lie in several components they meet
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.ngram_join import REMEMBERED, gram_set, named_components, node_of, resolved, sets_of, stored
+from galley.llm.ngram_join import REMEMBERED, by_node, gram_set, named_components, node_of, resolved, sets_of, stored
 from galley.operators.scale import fits
 from galley.session import cut_lineage
 
@@ -127,12 +127,15 @@ def meetings(rows: DataFrame) -> DataFrame:
     return met.join(sizes, "node")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose signatures agree on enough numbers for a link."""
-    marks = rows.where("signature is not null").select("node", "signature").dropDuplicates(["node"])
-    left = marks.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
-    right = marks.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-    agreed = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
+def verified(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets whose signatures agree on enough numbers for a link.
+
+    ``marks`` (node, marks) holds one byte of each number: numbers that agree
+    agree in it, others once in 256.
+    """
+    left = marks.select(F.col("node").alias("a"), F.col("marks").alias("ma"))
+    right = marks.select(F.col("node").alias("b"), F.col("marks").alias("mb"))
+    agreed = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda same: same))
     return pairs.join(left, "a").join(right, "b").where(agreed >= least_agreement(percent)).select("a", "b")
 
 
@@ -145,8 +148,10 @@ def near_duplicates(
     labels = None
     if not members.isEmpty():
         met = members.select("node").distinct()
-        marks = cut_lineage(rows.where("signature is not null").join(met, "node", "left_semi"))
-        sets = sets_of(docs, marks.select("doc_id", "node"), members, id_col, text_col, width)
+        signed_once = rows.where("signature is not null")
+        one_byte = F.transform("signature", lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint"))
+        marks = by_node(signed_once.join(met, "node", "left_semi").select("node", one_byte.alias("marks")))
+        sets = sets_of(docs, signed_once.select("doc_id", "node"), members, id_col, text_col, width)
         labels = resolved(members, sets, percent, likely=lambda pairs: verified(pairs, marks, percent))
     return named_components(rows, labels)
 

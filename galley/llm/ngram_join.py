@@ -53,9 +53,11 @@ PERCENT = 90
 STAGE_WIDTH = 5
 STAGE_PERCENT = 80
 #: Growth, per round, of the number of members all others of a group are compared with (one at first).
-MORE_PIVOTS = 8
+MORE_PIVOTS = 4
 #: Ids (8 bytes each) up to which a list of documents may be broadcast.
 BROADCAST_IDS = 1_000_000
+#: Column blocks beyond those that linked sets may differ in: so many, and one for so many members.
+SPARE, SPARE_OF = 3, 50
 #: Nodes a task remembers so as not to send their blocks again.
 REMEMBERED = 1_000_000
 
@@ -161,7 +163,7 @@ def _bounds(last: int, percent: int) -> tuple[int, np.ndarray | None]:
     allowed = most_different(last, last * 100 // percent, percent)
     if allowed == 0:
         return 0, None  # sets of such sizes are linked only if equal
-    n = allowed + 2
+    n = allowed + 2 + SPARE + last // SPARE_OF
     return n, np.array([(k << 64) // n for k in range(1, n)], np.uint64)
 
 
@@ -170,9 +172,11 @@ def block_keys(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
     A set is in its own level and in the one below, where it can meet smaller
     sets. A key stands for level, block and contents. Contents that are empty
-    say little, so an empty block has no key; as a linked pair agrees in two
-    blocks at least, it is enough that sets with several empty blocks have a
-    key for each pair of these.
+    say little, so an empty block has no key. If a set has fewer empty blocks
+    than the blocks in which a linked set must agree with it, one of these is
+    filled. Only if both sets have more (small sets, rarely) they may agree in
+    empty blocks alone; such sets also meet on members, the few of smallest
+    hash, of which linked sets share one.
     """
     size = len(grams)
     if not size:
@@ -188,14 +192,21 @@ def block_keys(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         sums = np.add.reduceat(_mixed(grams + np.uint64(end)), at[:-1][filled])
         level = np.full(1, end, np.uint64)
         out.append(_mixed(sums + _mixed(filled.astype(np.uint64) + level * np.uint64(_MULTIPLIER) + np.uint64(1))))
-        empty = np.setdiff1d(np.arange(n), filled)
-        if len(empty) > 1:
-            i, j = np.triu_indices(len(empty), 1)
-            pair = empty[i].astype(np.uint64) * np.uint64(n) + empty[j].astype(np.uint64)
-            out.append(_mixed(pair + level * np.uint64(_INVERSE)))
+        partner = size * 100 // percent if end == last else end
+        agree = n - most_different(size, partner, percent)
+        if n - len(filled) >= agree:
+            # too few filled blocks to be sure of one: these sets also meet on single members
+            out.append(_prefix(grams, end, percent))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _prefix(grams: np.ndarray, end: int, percent: int) -> np.ndarray:
+    """Keys of the members of smallest hash: two linked sets have one of them in common."""
+    size = len(grams)
+    least = -(-size * percent // 100)  # members that a linked set has in common at least
+    return _mixed(grams[: size - least + 1] + _mixed(np.full(1, end, np.uint64) * np.uint64(_INVERSE)))
+
+
 def node_of(grams: np.ndarray) -> int:
     """Name of a set: a 64-bit hash of all its members."""
     total = _mixed(grams ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64, keepdims=True)
@@ -315,23 +326,27 @@ def _ranked(meetings: DataFrame) -> DataFrame:
     shared = meetings.join(sizes, "key")
     central = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     w = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-    return meetings.join(central, "node").withColumn("rank", F.row_number().over(w)).drop("weight")
+    placed = {"rank": F.row_number().over(w), "pivot": F.first("node").over(w), "pivot_size": F.first("n_shingles").over(w)}
+    return meetings.join(central, "node").withColumns(placed).drop("weight")
 
 
 def _pairs(ranked: DataFrame, labels: DataFrame | None, pivots: int, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of a pivot and another member whose sizes allow a link and whose labels differ."""
+    if labels is None and pivots == 1:  # the one pivot is in the row
+        met = ranked.where("rank > 1").select(F.col("pivot").alias("a"), F.col("pivot_size").alias("na"), F.col("node").alias("b"), F.col("n_shingles").alias("nb"))
+        return _allowed(met, percent)
     placed = _labelled(ranked, labels)
     first = placed.where(F.col("rank") <= pivots).select(
         "key", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra")
     )
     second = placed.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"), "rank")
-    return (
-        first.join(second, "key")
-        .where("rank > ra and la <> lb")
-        .where(F.abs(F.col("na") - F.col("nb")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+    return _allowed(first.join(second, "key").where("rank > ra and la <> lb"), percent)
+
+
+def _allowed(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) whose sizes na and nb allow a link."""
+    close = F.abs(F.col("na") - F.col("nb")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    return met.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -446,8 +461,19 @@ def sets_of(docs: DataFrame, sent: DataFrame, members: DataFrame, id_col: str, t
     some = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(
         ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
     )
-    arrays = gram_arrays(some, "doc_id", "text", width).join(met, "node", "left_semi").dropDuplicates(["node"])
-    return cut_lineage(arrays.select("node", "grams"))
+    arrays = gram_arrays(some, "doc_id", "text", width).join(met, "node", "left_semi").select("node", "grams")
+    return by_node(arrays)
+
+
+def by_node(rows: DataFrame) -> DataFrame:
+    """One row per node, written in buckets of nodes, so joins on nodes do not move it again."""
+    spark = rows.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, "by-node")
+    table = f"galley_by_node_{path[-32:]}"
+    once = rows.repartition(buckets, "node").dropDuplicates(["node"])
+    once.write.bucketBy(buckets, "node").sortBy("node").option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 def resolved(
@@ -468,9 +494,7 @@ def resolved(
             links = found if links is None else links.union(found)
             labels = components(links)
         # the pivots have met all; the others of their groups may still link components
-        first = ranked.where("rank = 1").select("key", F.col("node").alias("pivot"))
-        others = _several_labels(ranked.where(F.col("rank") > pivots), labels).join(first, "key")
-        open_rows = stored(others)
+        open_rows = stored(_several_labels(ranked.where(F.col("rank") > pivots).drop("pivot_size"), labels))
         if open_rows.isEmpty():
             return labels
         meetings = stored(_several_labels(_next_meetings(open_rows, arrays, percent).distinct(), labels))

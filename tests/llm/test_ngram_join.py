@@ -98,21 +98,29 @@ def test_group_whose_centre_is_not_linked_to_all(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_keys_lose_no_linked_pair():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_keys_lose_no_linked_pair(percent):
     rng = np.random.default_rng(0)
     linked = 0
-    for _ in range(4000):
+    for _ in range(6000):
         n, k = int(rng.integers(5, 150)), int(rng.integers(1, 12))
         a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
         b = np.concatenate([a[int(rng.integers(0, k + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, k + 1)), dtype=np.uint64)])
         a, b = np.unique(a), np.unique(b)
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both) and not np.array_equal(a, b):
+        if 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
             linked += 1
-            assert len(np.intersect1d(J.block_keys(a), J.block_keys(b)))
+            assert len(np.intersect1d(J.block_keys(a, percent), J.block_keys(b, percent)))
     assert linked > 500
 
 
+def test_sets_of_few_members_share_no_key():
+    rng = np.random.default_rng(1)
+    for size in (4, 5, 8, 12, 40):
+        seen = np.concatenate([np.unique(J.block_keys(np.unique(rng.integers(0, 1 << 64, size, np.uint64)), 80)) for _ in range(5000)])
+        assert len(seen) == len(np.unique(seen))
+
+
 def test_long_text_is_hashed_in_segments(monkeypatch):
     text = "Word " * 50 + "long" * 300 + " é\x0bA b\n" * 40
     want = J.gram_set(text)
