@@ -288,6 +288,21 @@ def audit_stream(spark, sf):
     return read.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "stage", "events", "errors")
 
 
+@query("sink_audit_stream", "select run_id, stage, count(*) as events, count(error) as errors, max(event_id) as last from log_in group by all")
+def sink_audit_stream(spark, sf):
+    """The log appended by a stream, two files a batch, its first batch written twice."""
+    base = files.scratch(spark, "log-stream")
+    log(spark, sf).select("event_id", "ts", "run_id", "stage", "error").write.json(f"{base}/in")
+    events = spark.readStream.schema(S.SCHEMA).option("maxFilesPerTrigger", 2).json(f"{base}/in")
+    S.append_log(events, f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    first = spark.read.schema(S.SCHEMA).json(f"{base}/log/writer=audit/batch=0")
+    first.write.json(f"{base}/again")
+    S.write_batch(spark.read.schema(S.SCHEMA).json(f"{base}/again"), 0, f"{base}/log", "audit")
+    return spark.read.schema(S.SCHEMA).json(f"{base}/log").groupBy("run_id", "stage").agg(
+        F.count(F.lit(1)).alias("events"), F.count("error").alias("errors"), F.max("event_id").alias("last")
+    )
+
+
 # ---- corpus questions -----------------------------------------------------
 
 AS_OF = dt.date(2022, 1, 1)

@@ -57,3 +57,21 @@ def pair_tools(events: DataFrame, late: str = "1 hour") -> DataFrame:
         & (F.col("done_at") <= F.col("called_at") + F.expr(f"interval {late}"))
     )
     return calls.join(outputs, near, "left").drop("output_id")
+
+
+def write_batch(batch: DataFrame, batch_id: int, path: str, writer: str) -> None:
+    """One batch of a writer as a folder of its own, replaced as a whole when the batch is run again."""
+    batch.write.mode("overwrite").json(f"{path}/writer={writer}/batch={batch_id}")
+
+
+def append_log(events: DataFrame, path: str, checkpoint: str, writer: str = "audit") -> StreamingQuery:
+    """Append events to the log as they arrive, each once.
+
+    A batch that is run again after a failure has the same number and the same
+    events, and takes the place of what it wrote before. Several writers may
+    share a log; each has a name and a checkpoint of its own.
+    """
+    return (
+        events.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, path, writer))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )

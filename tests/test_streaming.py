@@ -48,3 +48,32 @@ def test_calls_meet_outputs_as_they_arrive(spark, tmp_path):
     got = {(r.call_id, r.tool_name, r.payload) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert {("a", "x", '{"ok":true}'), ("c", "z", "{}")} <= got
     assert ("b", "y", "late") not in got
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path, monkeypatch):
+    import pytest
+
+    base = str(tmp_path)
+    rows = spark.range(1000).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "'r' || id % 9 as run_id", "'s' as stage", "cast(null as string) as error")
+    rows.repartition(6).write.json(f"{base}/in")
+    events = lambda: spark.readStream.schema(S.SCHEMA).option("maxFilesPerTrigger", 2).json(f"{base}/in")
+    write, seen = S.write_batch, []
+
+    def fails_once(batch, batch_id, *where):
+        write(batch, batch_id, *where)
+        seen.append(batch_id)
+        if len(seen) == 2:
+            raise RuntimeError("lost after writing")
+
+    monkeypatch.setattr(S, "write_batch", fails_once)
+    query = S.append_log(events(), f"{base}/log", f"{base}/cp")
+    with pytest.raises(Exception, match="lost after writing"):
+        query.awaitTermination()
+    S.append_log(events(), f"{base}/log", f"{base}/cp").awaitTermination()
+    assert seen == [0, 1, 1, 2]
+    got = spark.read.schema(S.SCHEMA).json(f"{base}/log")
+    assert got.count() == 1000 == got.select("event_id").distinct().count()
+    # a second writer of the same log, and nothing new for the first
+    S.append_log(events(), f"{base}/log", f"{base}/cp2", "other").awaitTermination()
+    S.append_log(events(), f"{base}/log", f"{base}/cp").awaitTermination()
+    assert spark.read.schema(S.SCHEMA).json(f"{base}/log").count() == 2000
