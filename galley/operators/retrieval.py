@@ -22,7 +22,7 @@ from galley.functions import terms as V
 from galley.functions import text as T
 from galley.operators import corpus as C
 from galley.operators import profiles as P
-from galley.operators.scale import BROADCAST_ROWS, fits, join_skewed, join_small, top_rows
+from galley.operators.scale import BROADCAST_ROWS, fits, join_skewed, join_small, number_in_ranges, top_rows
 from galley.session import cut_lineage
 
 PLACE = ["corpus", "root_ord", "node_ord"]
@@ -518,3 +518,36 @@ def ranker_lines(nodes: DataFrame) -> DataFrame:
         F.when(F.col("node_ord") == 0, article).alias("article_line"),
         tree.alias("tree_line"),
     )
+
+
+#: Lines of one part of a list.
+PART_LINES = 200
+
+
+def list_parts(lines: DataFrame, by: list[str], order: list[str], line: str) -> DataFrame:
+    """Lists of lines as texts: one row per group and part, parts of ``PART_LINES`` lines numbered from 0.
+
+    A list may be most of the table, so it is numbered in ranges and no task
+    holds more of it than a part; joined by line breaks, the parts are the list.
+    """
+    rows = number_in_ranges(lines.select(*by, *order, F.col(line).alias("_line")), by, order, "_seq")
+    part = F.floor((F.col("_seq") - 1) / PART_LINES)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("_seq", "_line"))), lambda x: x["_line"])
+    return rows.groupBy(*by, part.alias("part")).agg(F.array_join(texts, "\n").alias("text"))
+
+
+def article_lists(lines: DataFrame) -> DataFrame:
+    """What a ranker reads first: the articles of each corpus, the same for all requests that search it."""
+    return list_parts(lines.where("article_line IS NOT NULL"), ["corpus"], ["root_ord"], "article_line")
+
+
+def tree_lists(shortlists: DataFrame, lines: DataFrame) -> DataFrame:
+    """What it reads next: for each request and corpus the nodes of the articles on its shortlist, in the shortlist's order.
+
+    A request that takes all articles has no list of its own here (``whole`` in ``shortlist``).
+    """
+    picked = shortlists.where("node_ids IS NOT NULL").select("run_id", "corpus", F.posexplode("node_ids").alias("ord", "root_id"))
+    roots = lines.where("node_ord = 0").select("corpus", "root_ord", F.col("node_id").alias("root_id"))
+    placed = picked.join(roots, ["corpus", "root_id"]).select("run_id", "corpus", "ord", "root_ord")
+    rows = join_small(lines.select("corpus", "root_ord", "node_ord", "tree_line"), placed, ["corpus", "root_ord"])
+    return list_parts(rows, ["run_id", "corpus"], ["ord", "node_ord"], "tree_line")

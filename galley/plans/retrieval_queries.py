@@ -11,7 +11,7 @@ from galley.operators import retrieval as R
 from galley.plans import assets, inputs
 from galley.plans import intent_queries  # noqa: F401  (registers the intent views)
 from galley.plans import sqltext as Q
-from galley.plans.registry import query, view
+from galley.plans.registry import ORACLES, query, view
 from galley.session import cut_lineage
 
 AVAILABLE = ("corpus_en", "corpus_nl", "schrijfwijzer", "writing_guide")
@@ -389,3 +389,45 @@ def ranker_input(spark, sf):
     return R.ranker_lines(assets.nodes(spark, sf)).select(
         "corpus", "node_id", F.coalesce("article_line", F.lit("")).alias("article_line"), "tree_line"
     )
+
+
+view(
+    "o_lines",
+    f"""select corpus, root_ord, node_ord, node_id, coalesce(case when node_ord = 0 then '- [' || node_id || '] ' || title || chr(10) || '    tags: ' ||
+    case when len(tags) = 0 then '-' else array_to_string(tags, ', ') end || chr(10) || '    desc: ' ||
+    substr(replace({Q.strip(_ABOUT)}, chr(10), ' '), 1, 280) end, '') as article_line, case when node_ord = 0 then '' else '  ' end || '- [' || node_id || '] ' || title ||
+    case when {_SHORT} = '' then '' else ' - ' || {_SHORT} end as tree_line from o_nodes""",
+)
+
+
+def _parts_sql(rows: str, by: str, order: str, line: str) -> str:
+    return f"""select {by}, part, md5(string_agg({line}, chr(10) order by seq)) as text_md5 from (
+  select *, (seq - 1) // 200 as part from (select *, row_number() over (partition by {by} order by {order}) as seq from ({rows}))) group by {by}, part"""
+
+
+@query("ranker_article_lists", _parts_sql("select * from o_lines where node_ord = 0", "corpus", "root_ord", "article_line"))
+def ranker_article_lists(spark, sf):
+    """Stage 1 lists of articles, in parts of 200 lines."""
+    lists = R.article_lists(R.ranker_lines(assets.nodes(spark, sf)))
+    return lists.select("corpus", "part", F.md5("text").alias("text_md5"))
+
+
+view("o_shortlist", ORACLES["ranker_shortlist"])
+
+
+@query(
+    "ranker_tree_lists",
+    _parts_sql(
+        """select s.run_id, s.corpus, s.ord, l.node_ord, l.tree_line from (
+  select run_id, corpus, unnest(string_split(node_ids, ',')) as root_id, unnest(range(len(string_split(node_ids, ',')))) as ord
+  from o_shortlist where node_ids <> '') s
+join o_lines r on r.corpus = s.corpus and r.node_id = s.root_id and r.node_ord = 0
+join o_lines l on l.corpus = r.corpus and l.root_ord = r.root_ord""",
+        "run_id, corpus", "ord, node_ord", "tree_line",
+    ),
+)
+def ranker_tree_lists(spark, sf):
+    """Stage 2 lists: the nodes of the articles on each request's shortlist."""
+    queries, nodes = queries_of(spark, sf), assets.nodes(spark, sf)
+    lists = R.tree_lists(R.shortlist(queries, nodes, picks(queries)), R.ranker_lines(nodes))
+    return lists.select("run_id", "corpus", "part", F.md5("text").alias("text_md5"))

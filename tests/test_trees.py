@@ -157,3 +157,17 @@ def test_odd_changes(spark):
     got = {r.change_id: r.outcome for r in P.judge_changes(table, spark.createDataFrame(rows, CHANGE)).collect()}
     assert got == {1: "invalid", 2: "not_found", 3: "invalid", 4: "invalid", 5: "rejected", None: "applied"}
     assert P.judge_changes(table, spark.createDataFrame([], CHANGE)).collect() == []
+
+
+def test_parts_joined_are_the_list(spark, monkeypatch):
+    from galley.operators import retrieval as R
+
+    monkeypatch.setattr(R, "PART_LINES", 7)
+    rows = [(c, i, 0, f"n{i}", f"line {c} {i}" if i % 3 else None, f"tree {i}") for c in "ab" for i in range(50)]
+    lines = spark.createDataFrame(rows, "corpus string, root_ord int, node_ord int, node_id string, article_line string, tree_line string").repartition(3)
+    parts = sorted(R.article_lists(lines).collect())
+    assert max(p.text.count("\n") for p in parts) == 6
+    for c in "ab":
+        assert "\n".join(p.text for p in parts if p.corpus == c).split("\n") == [r[4] for r in rows if r[0] == c and r[4]]
+    short = spark.createDataFrame([("r1", "a", ["n9", "n2"]), ("r2", "b", None), ("r3", "b", ["n1", "gone"])], "run_id string, corpus string, node_ids array<string>")
+    assert sorted(map(tuple, R.tree_lists(short, lines).collect())) == [("r1", "a", 0, "tree 9\ntree 2"), ("r3", "b", 0, "tree 1")]
