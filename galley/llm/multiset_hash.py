@@ -3,13 +3,14 @@
 A text is a multiset of blocks: its paragraphs (lines), where a long paragraph
 counts as its sentences. Each block is hashed (SHAKE-128) to a vector of
 ``LANES`` small signed numbers, and the fingerprint is the sum of the vectors
-modulo 2^16 per lane, with a lane for the number of blocks modulo 2^32. The
+modulo 2^32 per lane, with a lane for the number of blocks modulo 2^32. The
 order of blocks does not matter, blocks can be put in or taken out by adding or
 subtracting, and equal multisets have equal fingerprints.
 
 Two fingerprints differ by the sum over the blocks that only one text has, so
 the mean square of the lane differences estimates how many these are (with a
-relative error of about sqrt(2 / LANES)). ``likeness`` turns that number into
+relative error of about sqrt(2 / LANES), for up to some 10^14 blocks: the lanes
+are that wide). ``likeness`` turns that number into
 1 - (blocks of one text only) / (blocks of both), from 0 to 1; equal
 fingerprints give exactly 1.
 
@@ -51,7 +52,7 @@ class Fingerprint:
     __slots__ = ("lanes", "count")
 
     def __init__(self, lanes: np.ndarray | None = None, count: int = 0):
-        self.lanes = np.zeros(LANES, np.uint16) if lanes is None else lanes
+        self.lanes = np.zeros(LANES, np.uint32) if lanes is None else lanes
         self.count = count & 0xFFFFFFFF
 
     @classmethod
@@ -63,7 +64,7 @@ class Fingerprint:
             some = parts[at : at + 4096]
             digests = b"".join(hashlib.shake_128(p.encode("utf-8", "surrogatepass")).digest(LANES) for p in some)
             total += np.frombuffer(digests, np.int8).reshape(-1, LANES).sum(axis=0, dtype=np.int64)
-        return cls((total & 0xFFFF).astype(np.uint16), len(parts))
+        return cls((total & 0xFFFFFFFF).astype(np.uint32), len(parts))
 
     @classmethod
     def of_text(cls, text: str) -> Fingerprint:
@@ -82,11 +83,11 @@ class Fingerprint:
         return hash((self.count, self.lanes.tobytes()))
 
     def hex(self) -> str:
-        return f"{self.count:08x}" + self.lanes.astype(">u2").tobytes().hex()
+        return f"{self.count:08x}" + self.lanes.astype(">u4").tobytes().hex()
 
     @classmethod
     def from_hex(cls, text: str) -> Fingerprint:
-        return cls(np.frombuffer(bytes.fromhex(text[8:]), ">u2").astype(np.uint16), int(text[:8], 16))
+        return cls(np.frombuffer(bytes.fromhex(text[8:]), ">u4").astype(np.uint32), int(text[:8], 16))
 
     def likeness(self, other: Fingerprint) -> float:
         both = self.count + other.count
@@ -94,7 +95,7 @@ class Fingerprint:
             return 1.0
         if both == 0:
             return 0.0
-        gap = (self.lanes - other.lanes).astype(np.int16).astype(np.float64)
+        gap = (self.lanes - other.lanes).view(np.int32).astype(np.float64)
         alone = float((gap * gap).mean()) / LANE_VARIANCE
         # at least the difference of the counts, at least one block, at most all of them
         alone = min(max(alone, abs(self.count - other.count), 1.0), both)

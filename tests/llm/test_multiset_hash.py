@@ -70,3 +70,10 @@ def test_one_row_and_empty_table(spark):
     docs = spark.createDataFrame([(3, "One. Two.")], "doc_id bigint, text string")
     assert sorted(map(tuple, M.fingerprint_neighbours(docs).collect()), key=str) == brute([(3, "One. Two.")])
     assert M.fingerprint_neighbours(docs.limit(0)).count() == 0
+
+
+def test_unlike_texts_of_many_lines_stay_unlike():
+    a = M.Fingerprint.of_blocks([f"a{i}\n" for i in range(120_000)])
+    b = M.Fingerprint.of_blocks([f"b{i}\n" for i in range(120_000)])
+    both = M.Fingerprint.of_blocks([f"{'a' if i < 60_000 else 'c'}{i}\n" for i in range(120_000)])
+    assert a.likeness(b) < 0.3 and abs(a.likeness(both) - 0.5) < 0.15
