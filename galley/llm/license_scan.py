@@ -1,31 +1,33 @@
 """Licences named in whole texts, by rules over sequences of known sentences.
 
-Texts are cut at sentence ends and line breaks; up to ``MOST_LINES`` parts that
-follow each other without a sentence end between them are joined again, so a
-wrapped sentence is found too. Sentences are normalised (lower case, runs of
-anything but letters, digits, ``.`` and ``+`` become a blank, no dot at the
-end) and looked up among known licence sentences. The identifiers, in order of
-place, are then matched against the rules, the first rule first; what a rule
-takes is gone for the later ones. Sentences that no rule takes are counted.
+Texts are brought to a normal form (lower case, runs of anything but letters,
+digits, ``.`` and ``+`` become a blank) in which sentence ends and breaks stay
+marked: line breaks, and blanks after ``:`` or ``;``. A known sentence starts
+and ends at a mark and may run across breaks, however narrow the lines, but not
+across a sentence end; the dot of ``v.`` is none. One pass finds all of them,
+the longest first where several start alike; what one sentence takes does not
+start another. Their identifiers, in order of place, are then matched against
+the rules, the first rule first; what a rule takes is gone for the later ones.
+Sentences that no rule takes are counted.
 
 All of it is column expressions on the row: no shuffle, no Python. The tables
 of sentences and rules are part of the code. Defined results: a null or empty
-text has no licence; repeated rows get the same answer; of several known
-sentences that start at one part the longest counts; columns of the documents
-pass through, those that clash with the results are replaced.
+text has no licence, an empty table gives no row; repeated rows get the same
+answer; texts of any length are read in whole; columns of the documents pass
+through, those that clash with the results are replaced.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.functions.text import let
-
-#: Parts of a text a wrapped sentence may have.
-MOST_LINES = 6
+#: Marks in a normal form: the end of a sentence, and a break a sentence may run across.
+END, BREAK = "\x01", "\n"
 #: Every known sentence has one of these words, so other texts are not cut up.
-MENTION = r"(?i)licen[sc]|warrant|permission|redistribut|public domain|cc by|cc0|copyright"
+MENTION = r"(?i)licen[sc]|warrant|permission|redistribut|public\W+domain|cc\W+by|cc0|copyright"
 
 #: Known sentences in normal form, by identifier.
 SENTENCES = {
@@ -115,35 +117,38 @@ RULES = (
 )
 
 
-def normal(sentence: Column) -> Column:
-    plain = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.+]+", " ")
-    return F.regexp_replace(plain, r"^[ .]+|[ .]+$", "")
+def normal_form(text: Column) -> Column:
+    """The text in lower case with blanks, ``END`` and ``BREAK`` between its words."""
+    steps = (
+        (END, " "),
+        (r"(?<=[.!?])(?<!\bv\.)\s+", END),
+        (r"(?<=[:;])[^\S\n]+", BREAK),
+        (rf"[^a-z0-9.+{BREAK}{END}]+", " "),
+        # a run is tried from its first character only, so long ones stay linear
+        (rf"(?<![ .])[ .]*+{END}[ .{BREAK}{END}]*", END),
+        (rf" ?{BREAK}[ .{BREAK}]*", BREAK),
+        (rf"^[ .{BREAK}]+|(?<![ .{BREAK}])[ .{BREAK}]++$", ""),
+    )
+    out = F.lower(text)
+    for pattern, mark in steps:
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(mark))
+    return out
+
+
+def sentence_pattern() -> str:
+    """Any known sentence between marks, the longest first."""
+    known = "|".join(
+        re.escape(s).replace(r"\ ", f"[ {BREAK}]") for s in sorted(SENTENCES.values(), key=len, reverse=True)
+    )
+    return rf"(?<![^{BREAK}{END}])(?:{known})(?![^{BREAK}{END}])"
 
 
 def found_sentences(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order of place."""
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, name)])
-
-    def from_part(parts: Column, i: Column) -> Column:
-        taken = []
-        for k in range(MOST_LINES, 0, -1):
-            # no sentence end between the parts
-            found = let(
-                F.array_join(F.slice(parts, i + 1, F.lit(k)), "\n"),
-                lambda joined: F.when(~joined.rlike(r"[.!?]\s*\n"), known[normal(joined)]),
-            )
-            taken.append(F.when(F.size(parts) >= i + k, found))
-        return F.coalesce(*taken)
-
-    def names(parts: Column) -> Column:
-        # a run of parts can only be known if its first part is not blank
-        starts = F.transform(parts, lambda p, i: F.when(p.rlike(r"\w"), from_part(parts, i)))
-        return F.filter(starts, lambda x: x.isNotNull())
-
-    # the parts are bound once: an expression inside a lambda is evaluated for every element
-    none = F.array().cast("array<string>")
-    cut = let(F.split(text, r"(?<=[.!?])\s+|\n", -1), names)
-    return F.when(text.rlike(MENTION), cut).otherwise(none)
+    found = F.regexp_extract_all(normal_form(text), F.lit(sentence_pattern()), F.lit(0))
+    names = F.transform(found, lambda s: known[F.translate(s, BREAK, " ")])
+    return F.when(text.rlike(MENTION), names).otherwise(F.array().cast("array<string>"))
 
 
 def apply_rules(ids: Column) -> Column:
