@@ -15,8 +15,8 @@ numbers) reach the driver.
 
 Defined results: a null URL, or one without ``://``, has an empty host and
 path; such and all other URLs without a word get the verdict of the class
-sizes alone; names of over ``LONGEST_NAME`` letters are no host names and count
-as one word; repeated rows get the same answer; a null page id is kept; in an
+sizes alone; names and words of any length are segmented alike, in time linear
+in the length; repeated rows get the same answer; a null page id is kept; in an
 empty table nothing is fitted; columns other than id, URL and html are not
 read.
 """
@@ -48,8 +48,11 @@ SEEDS = (
 #: Least share of all words a seed word is given.
 SEED_SHARE = 1e-5
 #: Words of the unigram model: letters, and times they must be seen.
-SHORTEST_WORD, LONGEST_WORD, SEEN = 2, 24, 2
-LONGEST_NAME = 64
+SHORTEST_WORD, SEEN = 2, 2
+#: Letters of a word by which names are looked up; longer words are compared in whole where these agree.
+KEY = 24
+#: Letters of a name looked up at once, and of a name that is its own key.
+STRETCH, SHORT_NAME = 1000, 64
 #: Weight of the prior of each class, in words: words are expected as often as they are overall.
 PRIOR_WORDS = 10.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,9 +91,7 @@ def names(text: Column) -> Column:
 def unigrams(pages: DataFrame, text_col: str = "html") -> tuple[DataFrame, int]:
     """(word, weight) with weight the logarithm of its share in millionths; and the number of words."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(plain, r"\P{L}+")).alias("word")).where(
-        F.length("word").between(SHORTEST_WORD, LONGEST_WORD)
-    )
+    words = pages.select(F.explode(F.split(plain, r"\P{L}+")).alias("word")).where(F.length("word") >= SHORTEST_WORD)
     counts = cut_lineage(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1
     seeds = counts.sparkSession.createDataFrame([(w,) for w in SEEDS], "word string").withColumn("seed", F.lit(SEED_SHARE))
@@ -107,14 +108,16 @@ def best_split(name: str, known: list[tuple[int, int, float]], total: int) -> li
     ending: dict[int, list[tuple[int, float]]] = {}
     for start, length, weight in known:
         ending.setdefault(start + length, []).append((start, weight))
-    unknown = math.log(10.0 / total)
+    unknown, letter = math.log(10.0 / total), math.log(10.0)
     best = [0.0] + [-math.inf] * len(name)
     before = [0] * (len(name) + 1)
+    open_from, opened = 0, 0.0  # where an unknown stretch starts best, and its likelihood but for its end
     for end in range(1, len(name) + 1):
-        steps = sorted(ending.get(end, [])) + [(s, unknown - math.log(10.0) * (end - s)) for s in range(end)]
-        for start, weight in steps:
+        for start, weight in [*sorted(ending.get(end, [])), (open_from, opened - best[open_from] + unknown - letter * end)]:
             if best[start] + weight > best[end]:
                 best[end], before[end] = best[start] + weight, start
+        if best[end] + letter * end > opened:
+            open_from, opened = end, best[end] + letter * end
     words, at = [], len(name)
     while at:
         words.append(name[before[at] : at])
@@ -124,25 +127,41 @@ def best_split(name: str, known: list[tuple[int, int, float]], total: int) -> li
 
 def segmented(distinct_names: DataFrame, lexicon: DataFrame, total: int) -> DataFrame:
     """(name, words) of distinct names."""
-    short = F.length("name") <= LONGEST_NAME
-    starts = distinct_names.where(short).select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("start") + 1))
-    pieces = starts.select("name", "start", F.explode(lengths).alias("length")).where(
-        (F.col("length") >= SHORTEST_WORD)
-    ).withColumn("word", F.substring("name", F.col("start"), F.col("length")))
-    # at most LONGEST_NAME * LONGEST_WORD entries per name
-    known = pieces.join(lexicon, "word").groupBy("name").agg(
-        F.collect_list(F.struct((F.col("start") - 1).alias("start"), "length", "weight")).alias("known")
+    # a digest stands for a long name, so its pieces do not carry it; names are letters or "0", so none looks like it
+    named = distinct_names.withColumn(
+        "name_key", F.when(F.length("name") <= SHORT_NAME, F.col("name")).otherwise(F.concat(F.lit("0:"), F.sha2("name", 256)))
+    )
+    cut = F.transform(
+        F.sequence(F.lit(0), F.length("name") - 1, F.lit(STRETCH)),
+        lambda at: F.struct(at.alias("at"), F.substring(F.col("name"), at + 1, F.lit(STRETCH + KEY - 1)).alias("part")),
+    )
+    parts = named.select("name_key", F.explode(cut).alias("s")).select("name_key", "s.*")
+    starts = parts.select(
+        "name_key", "at", "part", F.explode(F.sequence(F.lit(1), F.least(F.lit(STRETCH), F.length("part")))).alias("start")
+    )
+    lengths = F.sequence(F.lit(1), F.least(F.lit(KEY), F.length("part") - F.col("start") + 1))
+    pieces = starts.select("name_key", "at", "part", "start", F.explode(lengths).alias("length")).where(
+        F.col("length") >= SHORTEST_WORD
+    ).select(
+        "name_key", (F.col("at") + F.col("start") - 1).alias("start"), F.substring("part", F.col("start"), F.col("length")).alias("key")
+    )
+    by_key = lexicon.withColumns({"key": F.substring("word", 1, KEY), "length": F.length("word")})
+    longer = F.when(F.col("length") > KEY, F.col("word"))
+    # at most KEY entries per letter, and the longer words that start alike
+    known = pieces.join(by_key, "key").groupBy("name_key").agg(
+        F.collect_list(F.struct("start", "length", "weight", longer.alias("longer"))).alias("known")
     )
-    rows = distinct_names.join(known, "name", "left")
+    rows = named.join(known, "name_key", "left")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for name, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole = len(name) > LONGEST_NAME or name == "0"
-                found = [(p["start"], p["length"], p["weight"]) for p in parts or []]
-                out.append([name] if whole else best_split(name, found, total))
+                found = [
+                    (p["start"], p["length"], p["weight"]) for p in parts or []
+                    if p["longer"] is None or name.startswith(p["longer"], p["start"])
+                ]
+                out.append([name] if name == "0" else best_split(name, found, total))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["name", "words"])
 
     return rows.select("name", "known").mapInArrow(split, "name string, words array<string>")

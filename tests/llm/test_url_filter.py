@@ -80,6 +80,20 @@ def test_split_is_the_most_likely_one():
         assert abs(sum(map(weigh, got)) - best) < 1e-9
 
 
+def test_long_names_and_words_are_segmented_alike(spark):
+    long_word = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    words = ["weather", "today", "casino", "rain", long_word]
+    lexicon = spark.createDataFrame([(w, math.log(0.01)) for w in [*words, long_word[:24] + "x"]], "word string, weight double")
+    rnd = random.Random(3)
+    want = {}
+    for n in (1, 3, 9, 300, 2000):
+        chosen = [rnd.choice(words) for _ in range(n)]
+        want["".join(chosen)] = chosen
+    want[long_word[:24] + "q"] = [long_word[:24] + "q"]
+    got = U.segmented(spark.createDataFrame([(n,) for n in [*want, "0"]], "name string"), lexicon, 1000).collect()
+    assert {r.name: r.words for r in got} == {**want, "0": ["0"]}
+
+
 def test_weights_are_those_of_multinomial_bayes(spark):
     rows = [("spam.io", "/a", ["spam", "io"], True), ("spam.io", "/a", ["a"], False), ("ok.io", "/a", ["ok", "io"], True), ("ok.io", "/a", ["a", "a"], False), ("ok.io", "/spam", ["spam"], False), ("ok.io", "/spam", ["ok", "io"], True)]
     weights, prior = U.word_weights(spark.createDataFrame(rows, "host string, path string, words array<string>, in_host boolean"))
