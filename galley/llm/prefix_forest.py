@@ -76,12 +76,13 @@ class Forest:
         low = ((code + self.first) >> below) << below
         return np.searchsorted(self.sorted, low), np.searchsorted(self.sorted, low + (1 << below))
 
-    def candidates(self, code: np.ndarray, least: int) -> np.ndarray:
-        """Rows found by descending to the longest prefixes and ascending until there are ``least``.
+    def candidates(self, code: np.ndarray, least: int, ids: np.ndarray) -> np.ndarray:
+        """Rows found by descending to the longest prefixes and ascending until they have ``least`` ids.
 
         Depths whose stretches together are shorter than ``least`` are passed
         without looking at their rows.
         """
+        found = np.count_nonzero if self.single else lambda seen: len(np.unique(ids[seen]))
         seen = np.zeros(len(self.vectors), bool)
         for depth in range(self.bits, -1, -1):
             low, high = self.ranges(code, depth)
@@ -89,14 +90,14 @@ class Forest:
                 continue
             for a, b in zip(low.tolist(), high.tolist()):
                 seen[self.order[a:b]] = True
-            if depth == 0 or np.count_nonzero(seen) >= least:
+            if depth == 0 or found(seen) >= least:
                 break
         return np.flatnonzero(seen)
 
 
 def nearest(forest: Forest, ids: np.ndarray, query: np.ndarray, query_id: int, code: np.ndarray, least: int, k: int):
     """The k nearest candidates: (ids, distances), ties to smaller ids."""
-    found = forest.candidates(code, least)
+    found = forest.candidates(code, least, ids)
     found = found[ids[found] != query_id]
     if forest.single and len(found) > 4 * k:
         # all that may be among the nearest by a product that rounds otherwise; exact distances follow
@@ -142,8 +143,9 @@ def search(
         width = len(left["vector"][0])
         ids, vectors = left["vec_id"].to_numpy(), _matrix(left["vector"], width)
         query_ids, asked = right["query_id"].to_numpy(), _matrix(right["vector"], width)
-        forest = Forest(vectors, trees, bits, single=len(np.unique(ids)) == len(ids))
-        least = max(k + 1, int(np.ceil(share * len(ids))))
+        distinct = len(np.unique(ids))
+        forest = Forest(vectors, trees, bits, single=distinct == len(ids))
+        least = max(k + 1, int(np.ceil(share * distinct)))
         out = [
             (np.full(len(found), q), found, distance)
             for q, v, code in zip(query_ids, asked, forest.hash_strings(asked))

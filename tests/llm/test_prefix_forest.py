@@ -68,7 +68,14 @@ def test_descent_takes_the_longest_prefixes():
                 want = np.flatnonzero((codes >> (20 - depth) == codes[q] >> (20 - depth)).any(axis=1))
                 if len(want) >= least:
                     break
-            assert np.array_equal(forest.candidates(codes[q], least), want)
+            assert np.array_equal(forest.candidates(codes[q], least, np.arange(400)), want)
+
+
+def test_an_id_that_fills_the_table_does_not_hide_others(spark):
+    rng = np.random.default_rng(4)
+    rows = [(7, (np.ones(16) + 0.01 * rng.standard_normal(16)).tolist()) for _ in range(12)]
+    rows += [(100 + i, rng.standard_normal(16).tolist()) for i in range(12)] + [(0, np.ones(16).tolist())]
+    assert [len(found) for found in run(spark, rows, [0], share=0.1).values()] == [10]
 
 
 def test_empty_table(spark):
