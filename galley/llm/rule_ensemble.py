@@ -34,6 +34,8 @@ from galley.session import cut_lineage
 
 #: Labelled rows a fit reads at most.
 MAX_ROWS = 20_000
+#: Labelled rows that reach the cut to the most a fit reads, as a multiple of these.
+CUT_FIRST = 1.5
 THRESHOLD = 0.3
 FOREST = {"numTrees": 12, "maxDepth": 3, "subsamplingRate": 0.7, "minInstancesPerNode": 5, "seed": 7}
 BOOSTED = {"maxIter": 8, "maxDepth": 2, "stepSize": 0.3, "minInstancesPerNode": 5, "seed": 7}
@@ -143,13 +145,15 @@ def is_held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
     """(features, label) of at most ``max_rows`` labelled rows that are not held out."""
-    picked = (
+    usable = (
         labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
         .agg(F.min(target).cast("double").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
     )
+    # ids of small hash in such a share that enough of them are left, so tasks send few rows to the cut
+    share = CUT_FIRST * max_rows / max(usable.count(), 1)
+    near = usable if share >= 1 else usable.where(F.xxhash64("doc_id") < int(share * 2**64) - 2**63)
+    picked = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # at most max_rows rows of two numbers: small enough to send to every task
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     return (
