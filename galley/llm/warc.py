@@ -1,6 +1,8 @@
 """WARC archives in which equal payloads are stored once.
 
-Headers (id, digest, length) are shuffled by payload digest, never payloads.
+Headers (id, digest, length) are shuffled by payload digest; payloads stay where
+they are read as long as the digests that repeat are few enough to broadcast
+(``BROADCAST_ORIGINALS``), and move once with the join of these beyond that.
 Of the records with one digest the one with the largest id stays a
 ``response``; the others become ``revisit`` records that refer to it. All
 headers are written afresh. A record is one row of Spark's text sink with the
@@ -12,7 +14,8 @@ out; control characters of a URL are percent-encoded; payloads under
 ``MIN_BYTES`` are never replaced; a null id never becomes the original unless
 all ids of the group are null, and then all its records are responses; rows
 that repeat an id and a payload are alike, so each is a response if that id is
-the largest. Columns other than id, URL and payload are not read.
+the largest; an empty table gives no record. Columns other than id, URL and
+payload are not read.
 """
 
 from __future__ import annotations
