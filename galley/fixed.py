@@ -407,3 +407,6 @@ KPIS = (
     ("h1_header_keywords", None, None, None, "DeviationYesNo", _YES, _YES, _YES),
     ("reading_level", "Style", None, None, "LanguageLevelScale", _YES, _YES, _YES),
 )
+
+# Fixed value: reason of a check that gave no result for a draft.
+CHECK_ERROR = "check error: no result"

@@ -68,6 +68,16 @@ def verdict(value, passed, reason: Column, indicator: str | None = None, raw=Non
     ).cast(VERDICT)
 
 
+def isolated(check: Column) -> Column:
+    """A check that fails by itself: where it has no value or no decision, a failing row says so.
+
+    Checks use the ``try_`` forms of what can raise an error, so an error in one
+    draft is a null there, and neither the job nor other drafts see it.
+    """
+    failed = verdict("unknown", False, F.lit(fixed.CHECK_ERROR))
+    return T.let(check.cast(VERDICT), lambda v: F.when(v["value"].isNull() | v["passed"].isNull(), failed).otherwise(v))
+
+
 def _scaled(passed: Column, good: str, bad: str, reason: Column, indicator: str, raw=None) -> Column:
     return T.let(
         F.coalesce(passed, F.lit(False)),
@@ -93,7 +103,7 @@ def sentence_length() -> Column:
     judged = T.let(
         counts,
         lambda c: T.let(
-            (c["long"] + c["short"]) / n,
+            F.try_divide(c["long"] + c["short"], n),
             lambda ratio: _scaled(
                 ratio <= 0.10,
                 "right",
@@ -344,7 +354,7 @@ def averages() -> tuple[Column, Column]:
     words, sentences = F.size("f_speech"), F.col("f_n_sentences")
     total = F.aggregate("f_speech", F.lit(0), lambda acc, w: acc + T.syllables(w))
     some = (words > 0) & (sentences > 0)
-    return F.when(some, words / sentences), F.when(some, total / words)
+    return F.when(some, F.try_divide(words, sentences)), F.when(some, F.try_divide(total, words))
 
 
 def flesch_of(sentence: Column, word: Column) -> Column:
@@ -509,7 +519,7 @@ AUDIT: dict[str, Callable[[], Column]] = {
 def audit(drafts: DataFrame, checks: dict[str, Callable[[], Column]] = AUDIT) -> DataFrame:
     """One row per draft and check."""
     rows = F.array(
-        *[F.struct(F.lit(kpi).alias("kpi_id"), fn().alias("v")) for kpi, fn in checks.items()]
+        *[F.struct(F.lit(kpi).alias("kpi_id"), isolated(fn()).alias("v")) for kpi, fn in checks.items()]
     )
     return (
         features(drafts).select("run_id", F.explode_outer(rows).alias("r")).select("run_id", "r.kpi_id", "r.v.*")

@@ -6,7 +6,7 @@ at most one row per draft. Long tables come from unnesting the result array.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,15 +138,18 @@ def _some(rows: list[Column]) -> Column:
 # ---- the three tiers ------------------------------------------------------
 
 
-def tier1(kpis: Sequence[dict]) -> Column:
-    """Results of the active checks; expects the columns of ``checks.features``."""
+def tier1(kpis: Sequence[dict], active: Mapping[str, Callable[[], Column]] = checks.ACTIVE) -> Column:
+    """Results of the active checks; expects the columns of ``checks.features``.
+
+    A check without a result for a draft gives a failing row there (``checks.isolated``).
+    """
     by_id = {k["id"]: k for k in kpis}
 
     def row(kpi: dict, when: Column) -> Column:
         return F.when(
             when,
             T.let(
-                checks.ACTIVE[kpi["id"]](),
+                checks.isolated(active[kpi["id"]]()),
                 lambda v: _row(
                     kpi, 1, v["value"], v["passed"], v["reason"], v["source"],
                     F.coalesce(v["indicator"], F.lit(kpi["indicator"])), v["raw_metric"],
@@ -154,7 +157,7 @@ def tier1(kpis: Sequence[dict]) -> Column:
             ),
         )
 
-    rows = [row(k, _applies(k)) for k in kpis if k["id"] in checks.ACTIVE]
+    rows = [row(k, _applies(k)) for k in kpis if k["id"] in active]
     extra = {
         "approved_source_content_for_genai": F.coalesce(F.size("citations"), F.lit(0)) > 0,
         "language": F.coalesce(F.col("language"), F.lit("")) != "",

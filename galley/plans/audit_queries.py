@@ -272,6 +272,60 @@ def event_summaries(spark, sf):
     return rows.select("call_id", "kind", line.alias("summary"))
 
 
+_TIMED = {**PAYLOADS, "ts": "ts"}
+
+
+@query(
+    "latest_stage_stream",
+    """select run_id, stage, coalesce(max_by(bare, seq) filter (where seq % 4 in (0, 2)), max_by(bare, seq)) as payload, bool_or(seq % 4 in (0, 2)) as complete
+from payloads_in group by all""",
+)
+def latest_stage_stream(spark, sf):
+    """The payloads arrive in two runs of the stream, the second from its checkpoint."""
+    base = files.scratch(spark, "latest-stream")
+    rows = inputs.select(spread(table(spark, sf, "events")), _TIMED)
+    middle = table(spark, sf, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    cut = F.lit(middle["lo"] + (middle["hi"] - middle["lo"]) / 2) if middle["lo"] else F.lit(None).cast("timestamp")
+    for part in (F.col("ts") < cut, F.col("ts") >= cut):
+        rows.where(part).write.mode("append").json(f"{base}/in")
+        stream = spark.readStream.schema("run_id string, stage string, seq bigint, payload string, ts timestamp").json(f"{base}/in")
+        S.keep_latest(S.latest_partials(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return S.read_latest(spark, f"{base}/out")
+
+
+_LATE = "5 minutes"
+
+
+@query(
+    "tool_pairing_stream",
+    f"""select coalesce(c.call_id, o.call_id) as call_id, c.tool_name, o.payload,
+  case when o.call_id is null then 'no output' when c.call_id is null then 'no call' else 'paired' end as state
+from (select * from tools_in where kind = 'call') c full join (select * from tools_in where kind = 'output') o on c.call_id = o.call_id and o.ts between c.ts and c.ts + interval {_LATE}""",
+)
+def tool_pairing_stream(spark, sf):
+    """All calls and outputs, those without the other and those too late too; a last event of each kind closes the log."""
+    base = files.scratch(spark, "pair-stream")
+    columns = (F.col("ts").cast("timestamp").alias("ts"), "kind", "call_id", "tool_name", "payload")
+    tools(spark, sf).select(*columns).write.parquet(f"{base}/in")
+    read = lambda: spark.readStream.schema("ts timestamp, kind string, call_id string, tool_name string, payload string").parquet(f"{base}/in")
+
+    def run():
+        pairs = S.pair_tools(read(), _LATE, "full")
+        return pairs.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    run().awaitTermination()
+    close = spark.createDataFrame([(kind,) for kind in ("call", "output")], "kind string")
+    nothing = [F.lit(None).cast("string").alias(n) for n in ("call_id", "tool_name", "payload")]
+    at = F.timestamp_seconds(F.lit(4_102_444_800)).alias("ts")
+    close.select(at, "kind", *nothing).write.mode("append").parquet(f"{base}/in")
+    run().awaitTermination()
+    pairs = spark.read.schema(
+        "call_id string, called_at timestamp, tool_name string, output_id string, done_at timestamp, payload string"
+    ).parquet(f"{base}/out").where("call_id is not null or output_id is not null")  # what closes the log has no id
+    state = F.when(F.col("output_id").isNull(), "no output").when(F.col("call_id").isNull(), "no call").otherwise("paired")
+    return pairs.select(F.coalesce("call_id", "output_id").alias("call_id"), "tool_name", "payload", state.alias("state"))
+
+
 @query(
     "audit_stream",
     """select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d') as day, stage, count(*) as events, count(error) as errors from log_in

@@ -214,3 +214,26 @@ def test_latest_stage_keeps_the_last_complete_payload(spark):
     got = {(r.run_id, r.stage): (r.payload, r.complete) for r in A.latest_stage(df).collect()}
     assert got["r", "content"] == (full, True) and got["s", "content"] == ("broken", False)
     assert got["s", "intent"][1] and A.latest_stage(df, 1).select("run_id").distinct().count() == 1
+
+
+def test_a_check_that_fails_for_one_draft_fails_alone(spark):
+    def share():
+        """Divides by the number of citations."""
+        rate = F.try_divide(F.lit(1), F.size("citations"))
+        return K.verdict(F.when(rate.isNotNull(), "right"), rate <= 1, F.lit("share"), "PresenceScale")
+
+    both = draft(spark, "# T\n\nText.", cited=1).withColumn("run_id", F.lit("one")).unionByName(
+        draft(spark, "# T\n\nText.", cited=0).withColumn("run_id", F.lit("none"))
+    )
+    got = {r.run_id: (r.value, r.passed, r.reason) for r in K.audit(both, {"share": share}).collect()}
+    assert got == {"one": ("right", True, "share"), "none": ("unknown", False, fixed.CHECK_ERROR)}
+    # the same within the evaluation, where the other checks stay as they are
+    kpis = G.seed_kpis()
+    name = next(k["id"] for k in kpis if k["id"] in K.ACTIVE)
+    rows = lambda active: {
+        (r.run_id, x.kpi_id): (x.value, x.passed)
+        for r in K.features(both).select("run_id", G.tier1(kpis, active).alias("rows")).collect() for x in r.rows
+    }
+    plain, changed = rows(K.ACTIVE), rows({**K.ACTIVE, name: share})
+    assert plain.keys() == changed.keys() and changed[("none", name)] == ("unknown", False)
+    assert all(plain[k] == changed[k] for k in plain if k[1] != name)

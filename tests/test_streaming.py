@@ -77,3 +77,45 @@ def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path, monkeypatch):
     S.append_log(events(), f"{base}/log", f"{base}/cp2", "other").awaitTermination()
     S.append_log(events(), f"{base}/log", f"{base}/cp").awaitTermination()
     assert spark.read.schema(S.SCHEMA).json(f"{base}/log").count() == 2000
+
+
+def test_latest_payloads_do_not_depend_on_files_or_restarts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from galley.operators import audit as A
+
+    whole = F.concat(F.lit('{"body":"t'), F.col("id").cast("string"), F.lit('"}'))
+    rows = spark.range(1200).select(
+        F.concat(F.lit("r"), F.col("id") % 7).alias("run_id"), F.when(F.col("id") % 2 == 0, "content").otherwise("other").alias("stage"),
+        F.col("id").alias("seq"), F.when(F.col("id") % 5 == 0, whole).when(F.col("id") % 5 == 1, F.lit("oops")).otherwise('{"body":7}').alias("payload"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 600).alias("ts"),
+    )
+    want = sorted(map(tuple, A.latest_stage(rows).select("run_id", "stage", "payload", "complete").collect()))
+    schema = "run_id string, stage string, seq bigint, payload string, ts timestamp"
+    for files, runs in ((1, 1), (4, 2), (20, 3)):
+        base = f"{tmp_path}/{files}"
+        for k in range(runs):
+            part = rows.where((F.col("seq") >= 1200 * k // runs) & (F.col("seq") < 1200 * (k + 1) // runs))
+            part.repartition(files).write.mode("append").json(f"{base}/in")
+            stream = spark.readStream.schema(schema).json(f"{base}/in")
+            S.keep_latest(S.latest_partials(stream), f"{base}/out", f"{base}/cp").awaitTermination()
+        got = sorted(map(tuple, S.read_latest(spark, f"{base}/out").select("run_id", "stage", "payload", "complete").collect()))
+        assert got == want
+
+
+def test_outputs_without_a_call_in_time_have_rows(spark, tmp_path):
+    rows = [
+        ("2024-01-01 00:00:00", "call", "a"), ("2024-01-01 00:00:05", "output", "a"), ("2024-01-01 00:00:06", "output", "a"),
+        ("2024-01-01 00:10:00", "call", "b"), ("2024-01-01 05:00:00", "output", "b"), ("2024-01-01 06:00:00", "output", "x"),
+        ("2024-01-09 00:00:00", "call", "end"), ("2024-01-09 00:00:00", "output", "end"),
+    ]
+    events = spark.createDataFrame(rows, "ts string, kind string, call_id string").selectExpr(
+        "cast(ts as timestamp) as ts", "kind", "call_id", "'t' as tool_name", "'p' as payload"
+    )
+    events.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    S.pair_tools(stream, "1 hour", "full").writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/cp"
+    ).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.call_id or "", r.output_id or "") for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("", "b"), ("", "x"), ("a", "a"), ("a", "a"), ("b", ""), ("end", "end")]
