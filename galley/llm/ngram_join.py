@@ -53,7 +53,7 @@ PERCENT = 90
 STAGE_WIDTH = 5
 STAGE_PERCENT = 80
 #: Growth, per round, of the number of members all others of a group are compared with (one at first).
-MORE_PIVOTS = 4
+MORE_PIVOTS = 16
 #: Ids (8 bytes each) up to which a list of documents may be broadcast.
 BROADCAST_IDS = 1_000_000
 #: Column blocks beyond those that linked sets may differ in: so many, and one for so many members.
@@ -485,10 +485,15 @@ def resolved(
     """
     links: DataFrame | None = None
     labels: DataFrame | None = None
+    compared: DataFrame | None = None
     meetings, pivots = members.withColumn("scope", F.lit(0).cast("bigint")), 1
     while True:
         ranked = stored(_ranked(meetings))
         pairs = _pairs(ranked, labels, pivots, percent)
+        if compared is not None:  # pairs that meet again were no link before
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        compared = pairs if compared is None else compared.union(pairs)
         found = stored(_linked(likely(pairs) if likely else pairs, arrays, percent))
         if not found.isEmpty():
             links = found if links is None else links.union(found)
