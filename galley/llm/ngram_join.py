@@ -273,34 +273,49 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each a group-by on nodes, so
     paths shrink to stars in a number of rounds that grows with the logarithm
-    of their length. Stars are written between rounds.
+    of their length. Stars are written between rounds. Edges that are stars
+    already need no round.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
-        least = lambda e: e.groupBy("a").agg(F.min("b").alias("least"))
-        around = both(now)
-        low = least(around).withColumn("least", F.least("least", "a"))
-        large = around.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        low = least(large)
-        small = (
-            large.join(low, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e"))
-            .select("e.*").where("a <> b").distinct()
-        )
-        new = stored(small)
-        # a star forest has one edge per node, and centres that are no one's leaf
-        is_star = new.groupBy("a").count().where("count > 1").isEmpty() and new.alias("x").join(
-            new.alias("y"), F.col("x.b") == F.col("y.a"), "left_semi"
-        ).isEmpty()
-        now = new
-        if is_star:
-            break
+    while not _are_stars(now):
+        either_way = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        around = now.select(F.explode(either_way).alias("e")).select("e.*")
+        least = around.groupBy("a").agg(F.least(F.min("b"), "a").alias("least"))
+        # repeated edges end with the small star
+        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        ends = F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))
+        now = stored(large.join(least, "a").select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     )
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node has one edge to a smaller node, or is a centre that has none."""
+    ends = F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")),
+    )
+    nodes = edges.select(F.explode(ends).alias("e")).select("e.*").groupBy("node")
+    return nodes.agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1 and out > 0").isEmpty()
+
+
+def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) of the components ``labels`` after more ``links`` (a, b), which join whole components."""
+    if labels is None:
+        return _small(stored(components(links)))
+    named = links
+    for end in ("a", "b"):
+        of_end = labels.select(F.col("node").alias(end), F.col("label").alias("_label"))
+        named = named.join(of_end, end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
+    into = stored(components(named))
+    moved = into.select(F.col("node").alias("label"), F.col("label").alias("_into"))
+    kept = labels.join(_small(moved), "label", "left").select("node", F.coalesce("_into", "label").alias("label"))
+    # the names of components are nodes of theirs, so they are on both sides
+    return _small(stored(kept.union(into).distinct()))
+
+
 # ---- the join ----------------------------------------------------------------
 
 
@@ -483,7 +498,6 @@ def resolved(
 
     ``likely`` may leave out pairs (a, b) that need no exact count.
     """
-    links: DataFrame | None = None
     labels: DataFrame | None = None
     compared: DataFrame | None = None
     meetings, pivots = members.withColumn("scope", F.lit(0).cast("bigint")), 1
@@ -496,8 +510,7 @@ def resolved(
         compared = pairs if compared is None else compared.union(pairs)
         found = stored(_linked(likely(pairs) if likely else pairs, arrays, percent))
         if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links)
+            labels = joined_components(labels, found)
         # the pivots have met all; the others of their groups may still link components
         open_rows = stored(_several_labels(ranked.where(F.col("rank") > pivots).drop("pivot_size"), labels))
         if open_rows.isEmpty():

@@ -146,3 +146,27 @@ def test_stage_keeps_one_of_each(spark):
     want = sorted(i for i, stays in by_id.items() if any(stays))
     assert sorted(k.doc_id for k in kept if k.doc_id is not None) == want
     assert sum(k.doc_id is None for k in kept) == sum(r[0] is None for r in rows)
+
+
+def test_links_join_whole_components(spark):
+    """Components of random links, given at once and in parts, against union by hand."""
+    rnd = random.Random(5)
+    links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)]
+    name = {x: x for link in links for x in link}
+    for _ in name:
+        changed = False
+        for a, b in links:
+            low = min(name[a], name[b])
+            changed |= name[a] != low or name[b] != low
+            name[a] = name[b] = low
+        if not changed:
+            break
+    table = lambda part: spark.createDataFrame(part, "a bigint, b bigint")
+    labels = None
+    for at in range(0, len(links), 100):
+        labels = J.joined_components(labels, table(links[at : at + 100]))
+    # a link of a node to itself names no component
+    alone = {x for x in name if all(a == b for a, b in links if x in (a, b))}
+    want = sorted((x, low) for x, low in name.items() if x not in alone)
+    assert sorted(map(tuple, labels.collect())) == want
+    assert sorted(map(tuple, J.joined_components(None, table(links)).collect())) == want
