@@ -33,18 +33,19 @@ def features(drafts: DataFrame) -> DataFrame:
         {
             "f_sentences": T.split_sentences(F.col("f_bare")),
             "f_paragraphs": T.split_paragraphs(F.col("f_bare")),
-            "f_words": T.count_words(F.col("f_bare")),
             "f_speech": T.speech_words(F.col("f_bare")),
             "f_h1": T.matches(F.col("body"), H1, 1),
             "f_keywords": _keywords(F.col("topic_keywords")),
         }
     )
-    return split.withColumns(
+    counted = split.withColumns(
         {
             "f_lengths": F.transform("f_sentences", T.count_words),
             "f_n_sentences": F.size("f_sentences"),
         }
     )
+    # sentences end between words, so their words are those of the text
+    return counted.withColumn("f_words", F.aggregate("f_lengths", F.lit(0), lambda acc, n: acc + n))
 
 
 def _keywords(c: Column) -> Column:
@@ -133,7 +134,8 @@ def paragraph_length() -> Column:
         ),
     )
     blocks = T.let(
-        _count_where(paras, lambda p: T.word_count(p) > 100),
+        # 101 words have 201 characters at least
+        _count_where(paras, lambda p: (F.length(p) > 200) & (T.word_count(p) > 100)),
         lambda long: _scaled(
             long == 0, "right", "too_long",
             say(long, "/", n, " paragraphs exceed 100 words"),
@@ -352,7 +354,7 @@ def flesch() -> Column:
 def averages() -> tuple[Column, Column]:
     """Words per sentence and syllables per word; null without sentences or words."""
     words, sentences = F.size("f_speech"), F.col("f_n_sentences")
-    total = F.aggregate("f_speech", F.lit(0), lambda acc, w: acc + T.syllables(w))
+    total = T.syllables_of(F.col("f_speech"))
     some = (words > 0) & (sentences > 0)
     return F.when(some, F.try_divide(words, sentences)), F.when(some, F.try_divide(total, words))
 
