@@ -119,3 +119,19 @@ def test_summary(spark):
 
 def test_occurrences_do_not_overlap(spark):
     assert run(spark, T.occurrences(F.col("t"), F.lit("aa")), ["aaaaa", "", "baab"]) == [2, 0, 1]
+
+
+def test_terms_of_a_text_are_those_of_its_tokens(spark):
+    vs = [*texts(60, 3), None, "", "the the", "abKcd Plain PLAIN İstanbul ẞeta ÀÉÎ x×y÷z \U0001d400bcd ß_9", "퟿�é" * 5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "i int, t string")
+    stop = fixed.BUILD_STOPWORDS
+    both = df.select("i", V.text_terms(F.col("t"), 3, 20, stop).alias("a"), V.top_terms(T.tokens(F.col("t"), 3, stop), 20).alias("b"))
+    rows = both.collect()
+    assert all(r.a == r.b for r in rows) and sum(len(r.a) for r in rows) > 200
+    nodes = spark.createDataFrame([("c", 0, 0, "0001", "A", "Cat cat dog", ["Tag"])], "corpus string, root_ord int, node_ord int, node_id string, title string, text string, tags array<string>")
+    for name in ("article_title", "lang", "line_num", "own_url", "source_url", "published"):
+        nodes = nodes.withColumn(name, F.lit(None).cast("string"))
+    built = C.chunk_records(nodes)
+    # texts go to the counting function, not lists of tokens found in the row before
+    assert "regexp_extract_all" not in built._jdf.queryExecution().optimizedPlan().toString()
+    assert [(e.term, round(e.weight, 3)) for e in built.first().terms] == [("cat", 0.816), ("dog", 0.408), ("tag", 0.408)]
