@@ -40,11 +40,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galley.operators.scale import fits
-from galley.session import cut_lineage
+from galley.session import cut_lineage, shuffles_removed
 from galley.sources.files import scratch
 
 WIDTH = 3
@@ -58,6 +58,8 @@ MORE_PIVOTS = 16
 BROADCAST_IDS = 1_000_000
 #: Column blocks beyond those that linked sets may differ in: so many, and one for so many members.
 SPARE, SPARE_OF = 3, 50
+#: Bits of a block key that travel; keys that agree in them by chance cost a comparison.
+KEY_BITS = 40
 #: Nodes a task remembers so as not to send their blocks again.
 REMEMBERED = 1_000_000
 
@@ -216,8 +218,8 @@ def node_of(grams: np.ndarray) -> int:
 ROW_SCHEMA = "doc_id bigint, node bigint, n_shingles bigint, keys array<bigint>"
 
 
-def incidence(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """One row per document: its node, set size, and block keys unless its task sent them before."""
+def incidence(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int | None) -> DataFrame:
+    """One row per document: its node, set size, and block keys unless its task sent them before (or ``percent`` is None)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -226,7 +228,7 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
             for text in batch.column(1):
                 grams = gram_set(text.as_py(), width)
                 node = node_of(grams) if len(grams) else None
-                fresh = node is not None and node not in sent
+                fresh = percent is not None and node is not None and node not in sent
                 if fresh and len(sent) < REMEMBERED:
                     sent.add(node)
                 nodes.append(node)
@@ -319,9 +321,15 @@ def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 # ---- the join ----------------------------------------------------------------
 
 
+def _short(key: Column) -> Column:
+    """A key as it travels: what meets by chance is compared in full and is no link."""
+    return F.shiftrightunsigned(key, 64 - KEY_BITS)
+
+
 def _meetings(rows: DataFrame) -> DataFrame:
     """(key, node, n_shingles) of block keys that two or more nodes share."""
     sent = rows.where("keys is not null").select("node", "n_shingles", F.explode("keys").alias("key"))
+    sent = sent.withColumn("key", _short(F.col("key")))
     w = Window.partitionBy("key")
     met = sent.withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).where("lo <> hi")
     return met.select("key", "node", "n_shingles").distinct()
@@ -412,15 +420,16 @@ def _next_meetings(open_rows: DataFrame, arrays: DataFrame, percent: int) -> Dat
     # not linked: the other one is at most as far from the pivot as a link allows
     of_other = d - F.floor((n + F.floor(n * 100 / percent)) * less / more)
     common = F.greatest(F.lit(1), F.when(is_linked, of_linked).otherwise(of_other)).cast("bigint")
-    # read twice below; the arrays are joined once
-    differences = stored(met.select("scope", "node", "n_shingles", (d - common + 1).alias("first"), "diff"))
-    rows = differences.select("scope", "node", "n_shingles", "first", F.explode("diff").alias("gram"))
-    often = rows.groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("seen"))
-    rarest = Window.partitionBy("scope", "node").orderBy("seen", "gram")
-    placed = rows.join(often, ["scope", "gram"]).withColumn("place", F.row_number().over(rarest))
-    return placed.where("place <= first and seen > 1").select(
-        F.xxhash64("scope", "gram").alias("key"), "scope", "node", "n_shingles"
+    rows = met.select("scope", "node", "n_shingles", (d - common + 1).alias("first"), d.alias("d"), F.explode("diff").alias("gram")).select(
+        _short(F.xxhash64("scope", "gram")).alias("key"), "scope", "node", "n_shingles", "first", "d"
     )
+    often = rows.withColumn("seen", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("seen > 1")
+    # differences of one member only come first and are no keys: their number is enough
+    own = Window.partitionBy("scope", "node")
+    alone = F.col("d") - F.count(F.lit(1)).over(own)
+    place = F.row_number().over(own.orderBy("seen", "key"))
+    placed = often.withColumns({"alone": alone, "place": place})
+    return placed.where("alone + place <= first").select("key", "scope", "node", "n_shingles")
 
 
 def similarity_components(
@@ -430,10 +439,12 @@ def similarity_components(
 
     Rows of one label are a component; its id names another component too if rows repeat it.
     """
-    rows = cut_lineage(incidence(docs, id_col, text_col, width, percent))
-    members = cut_lineage(_meetings(rows))
-    labels = _node_components(docs, rows, members, id_col, text_col, width, percent)
-    return named_components(rows, labels)
+    with shuffles_removed(docs.sparkSession):
+        # keys go from the texts to where they meet; sets are named once more rather than written with their keys
+        members = cut_lineage(_meetings(incidence(docs, id_col, text_col, width, percent)))
+        rows = cut_lineage(incidence(docs, id_col, text_col, width, None).drop("keys"))
+        labels = _node_components(docs, rows, members, id_col, text_col, width, percent)
+        return named_components(rows, labels)
 
 
 def named_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -463,7 +474,7 @@ def _node_components(docs, rows, members, id_col, text_col, width, percent) -> D
     """(node, label) of all nodes that are linked to another."""
     if members.isEmpty():
         return None
-    sent = rows.where("keys is not null").select("doc_id", "node")
+    sent = rows.where("node is not null").select("doc_id", "node")
     return resolved(members, sets_of(docs, sent, members, id_col, text_col, width), percent)
 
 

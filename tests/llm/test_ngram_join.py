@@ -170,3 +170,17 @@ def test_links_join_whole_components(spark):
     want = sorted((x, low) for x, low in name.items() if x not in alone)
     assert sorted(map(tuple, labels.collect())) == want
     assert sorted(map(tuple, J.joined_components(None, table(links)).collect())) == want
+
+
+def test_keys_travel_short_and_are_not_written(spark, monkeypatch):
+    """Keys of six bits meet by chance all the time, which links nothing; what is written holds no lists of keys."""
+    from galley import session
+
+    written, cut = [], J.cut_lineage
+    monkeypatch.setattr(J, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    monkeypatch.setattr(J, "KEY_BITS", 6)
+    before = spark.conf.get(session.REMOVE_SHUFFLES, None)
+    rows = corpus(3)
+    assert run(spark, rows) == brute(rows)
+    assert written and not any("keys" in columns for columns in written)
+    assert spark.conf.get(session.REMOVE_SHUFFLES, None) == before
