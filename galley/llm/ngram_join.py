@@ -180,26 +180,45 @@ def block_keys(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     empty blocks alone; such sets also meet on members, the few of smallest
     hash, of which linked sets share one.
     """
+    return np.concatenate([keys for keys, _ in level_keys(grams, percent)])
+
+
+def level_keys(grams: np.ndarray, percent: int = PERCENT) -> list[tuple[np.ndarray, int]]:
+    """For the level of a set and the one below: its keys, and how many of them a linked set shares at least."""
     size = len(grams)
+    none = (np.zeros(0, np.uint64), 1)
     if not size:
-        return np.zeros(0, np.uint64)
+        return [none, none]
     first, last = level_of(size, percent)
     out = []
-    for end in {last, first - 1} - {0}:
-        n, bounds = _bounds(end, percent)
+    for end in (last, first - 1):
+        n, bounds = _bounds(end, percent) if end else (0, None)
         if not n:
+            out.append(none)
             continue
         at = np.concatenate([[0], np.searchsorted(grams, bounds), [size]])
         filled = np.flatnonzero(at[1:] > at[:-1])
         sums = np.add.reduceat(_mixed(grams + np.uint64(end)), at[:-1][filled])
         level = np.full(1, end, np.uint64)
-        out.append(_mixed(sums + _mixed(filled.astype(np.uint64) + level * np.uint64(_MULTIPLIER) + np.uint64(1))))
+        keys = _mixed(sums + _mixed(filled.astype(np.uint64) + level * np.uint64(_MULTIPLIER) + np.uint64(1)))
         partner = size * 100 // percent if end == last else end
         agree = n - most_different(size, partner, percent)
-        if n - len(filled) >= agree:
+        least = agree - (n - len(filled))
+        if least <= 0:
             # too few filled blocks to be sure of one: these sets also meet on single members
-            out.append(_prefix(grams, end, percent))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            keys, least = np.concatenate([keys, _prefix(grams, end, percent)]), 1
+        out.append((keys, least))
+    return out
+
+
+def _short_keys(grams: np.ndarray, percent: int, shift: int) -> tuple[np.ndarray, int, int, int]:
+    """The keys of a set as they travel, how many of them are of its own level, and what a linked set shares at least in each."""
+    keys, least = [], []
+    for level, shared in level_keys(grams, percent):
+        short = np.unique(level >> np.uint64(shift))
+        keys.append(short)
+        least.append(max(1, shared - (len(level) - len(short))))
+    return np.concatenate(keys).view(np.int64), len(keys[0]), *least
 
 
 def _prefix(grams: np.ndarray, end: int, percent: int) -> np.ndarray:
@@ -215,12 +234,14 @@ def node_of(grams: np.ndarray) -> int:
     return int(_mixed(total + np.uint64(len(grams))).view(np.int64)[0])
 
 
-ROW_SCHEMA = "doc_id bigint, node bigint, n_shingles bigint, keys array<bigint>"
+ROW_SCHEMA = "doc_id bigint, node bigint, n_shingles bigint, keys array<bigint>, n_own int, least_own int, least_below int"
 
 
 def incidence(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int | None) -> DataFrame:
     """One row per document: its node, set size, and block keys unless its task sent them before (or ``percent`` is None)."""
 
+    shift = 64 - KEY_BITS
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
@@ -233,13 +254,14 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
                     sent.add(node)
                 nodes.append(node)
                 sizes.append(len(grams))
-                keys.append(block_keys(grams, percent).view(np.int64) if fresh else None)
+                keys.append(_short_keys(grams, percent, shift) if fresh else (None,) * 4)
+            lists, *counts = zip(*keys) if keys else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(lists, pa.list_(pa.int64())), *[pa.array(c, pa.int32()) for c in counts],
                 ],
-                names=["doc_id", "node", "n_shingles", "keys"],
+                names=["doc_id", "node", "n_shingles", "keys", "n_own", "least_own", "least_below"],
             )
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
@@ -327,12 +349,24 @@ def _short(key: Column) -> Column:
 
 
 def _meetings(rows: DataFrame) -> DataFrame:
-    """(key, node, n_shingles) of block keys that two or more nodes share."""
-    sent = rows.where("keys is not null").select("node", "n_shingles", F.explode("keys").alias("key"))
-    sent = sent.withColumn("key", _short(F.col("key")))
+    """(key, node, n_shingles) of block keys that two or more nodes share.
+
+    Linked sets share a least number of keys in one level; who shares fewer with
+    all others together, a passage or a line, is linked to nobody there.
+    """
+    own = F.col("pos") < F.col("n_own")
+    sent = rows.where("keys is not null").select("*", F.posexplode("keys").alias("pos", "key")).select(
+        "key", "node", "n_shingles", own.alias("own"), F.when(own, F.col("least_own")).otherwise(F.col("least_below")).alias("least")
+    )
+    met = _shared(sent).distinct()
+    enough = met.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("node", "own"))).where("_n >= least")
+    return _shared(enough).select("key", "node", "n_shingles").distinct()
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows of keys that two or more nodes have."""
     w = Window.partitionBy("key")
-    met = sent.withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).where("lo <> hi")
-    return met.select("key", "node", "n_shingles").distinct()
+    return rows.withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).where("lo <> hi").drop("lo", "hi")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -442,7 +476,7 @@ def similarity_components(
     with shuffles_removed(docs.sparkSession):
         # keys go from the texts to where they meet; sets are named once more rather than written with their keys
         members = cut_lineage(_meetings(incidence(docs, id_col, text_col, width, percent)))
-        rows = cut_lineage(incidence(docs, id_col, text_col, width, None).drop("keys"))
+        rows = cut_lineage(incidence(docs, id_col, text_col, width, None).select("doc_id", "node", "n_shingles"))
         labels = _node_components(docs, rows, members, id_col, text_col, width, percent)
         return named_components(rows, labels)
 

@@ -184,3 +184,32 @@ def test_keys_travel_short_and_are_not_written(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
     assert written and not any("keys" in columns for columns in written)
     assert spark.conf.get(session.REMOVE_SHUFFLES, None) == before
+
+
+def test_linked_sets_share_the_least_number_of_keys():
+    rng = np.random.default_rng(9)
+    for percent in (80, 90):
+        for size in (5, 9, 30, 120, 600):
+            for _ in range(40):
+                a = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+                gone = rng.integers(0, len(a) * (100 - percent) // 100 + 1)
+                new = len(a) * (100 - percent) // 100 - gone
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[gone:]], rng.integers(0, 1 << 64, int(rng.integers(0, new + 1)), np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if np.array_equal(a, b) or 100 * both < percent * (len(a) + len(b) - both):
+                    continue
+                shared = [[len(np.intersect1d(x, y)) for y, _ in J.level_keys(b, percent)] for x, _ in J.level_keys(a, percent)]
+                least_a, least_b = ([n for _, n in J.level_keys(s, percent)] for s in (a, b))
+                assert any(shared[i][j] >= max(least_a[i], least_b[j]) for i in (0, 1) for j in (0, 1) if shared[i][j])
+
+
+def test_a_passage_in_common_makes_no_meeting(spark):
+    rnd = random.Random(4)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = words(200)
+    docs = spark.createDataFrame([(i, passage + " " + words(200)) for i in range(4)], "doc_id bigint, text string")
+    rows = J.incidence(docs, "doc_id", "text", 5, 80)
+    assert not J._shared(rows.selectExpr("node", "explode(keys) as key")).isEmpty()
+    assert J._meetings(rows).isEmpty()
+    copies = docs.unionByName(docs.selectExpr("doc_id + 100", "text || ' end of it'"))
+    assert J._meetings(J.incidence(copies, "doc_id", "text", 5, 80)).select("node").distinct().count() == 8
