@@ -211,5 +211,5 @@ def test_a_passage_in_common_makes_no_meeting(spark):
     rows = J.incidence(docs, "doc_id", "text", 5, 80)
     assert not J._shared(rows.selectExpr("node", "explode(keys) as key")).isEmpty()
     assert J._meetings(rows).isEmpty()
-    copies = docs.unionByName(docs.selectExpr("doc_id + 100", "text || ' end of it'"))
+    copies = docs.unionByName(docs.selectExpr("doc_id + 100 as doc_id", "text || ' end of it' as text"))
     assert J._meetings(J.incidence(copies, "doc_id", "text", 5, 80)).select("node").distinct().count() == 8
