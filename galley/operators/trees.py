@@ -10,7 +10,10 @@ eight joins, and only nodes that have not reached their root take part.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -125,10 +128,105 @@ def _text(value) -> str | None:
     return None if value is None else str(value).strip() or None
 
 
-def _nodes_of(roots: list) -> Iterator[dict]:
-    """Rows of nested nodes, depth first, with a stack of its own."""
+#: What tree files are cut at: no file ends with it, and a node of any kind has one.
+OPENS = "{"
+#: Characters of a file that are read on at least.
+READ = 1 << 22
+_BLANK = re.compile(r"[ \t\n\r]*")
+_JSON = json.JSONDecoder()
+
+
+class _Text:
+    """The text of a file, read on in pieces as far as it is parsed."""
+
+    def __init__(self, pieces: Iterable[str]) -> None:
+        self.pieces, self.known, self.at, self.ended = iter(pieces), "", 0, False
+
+    def read_on(self) -> None:
+        """At least double what is not parsed, so that a value is not tried again too often."""
+        parts = [self.known[self.at :]]
+        missing = max(READ, len(parts[0]))
+        for piece in self.pieces:
+            parts.append(piece)
+            missing -= len(piece)
+            if missing <= 0:
+                break
+        else:
+            self.ended = True
+        self.known, self.at = "".join(parts), 0
+
+    def coming(self) -> str:
+        """The next character that is not blank, empty at the end."""
+        while True:
+            self.at = _BLANK.match(self.known, self.at).end()
+            if self.at < len(self.known) or self.ended:
+                return self.known[self.at : self.at + 1]
+            self.read_on()
+
+    def take(self, allowed: str) -> str:
+        found = self.coming()
+        if not found or found not in allowed:
+            raise ValueError(f"a tree file has {found!r} in place of one of {allowed!r}")
+        self.at += 1
+        return found
+
+    def value(self):
+        self.coming()
+        while True:
+            try:
+                found, end = _JSON.raw_decode(self.known, self.at)
+                if end < len(self.known) or self.ended:
+                    self.at = end
+                    return found
+            except json.JSONDecodeError:
+                if self.ended:
+                    raise
+            self.read_on()
+
+    def items(self) -> Iterator:
+        """The items of a list, each parsed when it is asked for."""
+        self.take("[")
+        if self.coming() == "]":
+            self.take("]")
+            return
+        yield self.value()
+        while self.take(",]") == ",":
+            yield self.value()
+
+
+def _roots_of(pieces: Iterable[str]) -> Iterator:
+    """Roots of a tree file one by one: the items of ``structure``, or of a plain list."""
+    text, seen = _Text(pieces), False
+    if text.coming() == "[":
+        yield from text.items()
+    else:
+        text.take("{")
+        more = text.coming() != "}" or text.take("}") == ","
+        while more:
+            key = text.value()
+            text.take(":")
+            if key == "structure":
+                if seen:
+                    raise ValueError("a tree file has two structures")
+                seen = True
+            if key == "structure" and text.coming() == "[":
+                yield from text.items()
+            elif text.value() and key == "structure":
+                raise ValueError("the structure of a tree file is not a list")
+            more = text.take(",}") == ","
+    if text.coming():
+        raise ValueError("a tree file goes on after its end")
+
+
+def _nodes_of(roots: Iterable) -> Iterator[dict]:
+    """Rows of nested nodes, depth first, with a stack of its own; a root is held until its last node is given."""
     above = {"node_id": None, "root_id": None, "root_ord": None, "path": [], "article_title": None, "source_url": None}
-    stack = [(node, i, above) for i, node in reversed([*enumerate(roots)])]
+    for i, node in enumerate(roots):
+        yield from _nodes_under(node, i, above)
+
+
+def _nodes_under(node: dict, i: int, above: dict) -> Iterator[dict]:
+    stack = [(node, i, above)]
     while stack:
         node, i, up = stack.pop()
         own = _text(node.get("source"))
@@ -144,28 +242,33 @@ def _nodes_of(roots: list) -> Iterator[dict]:
 
 
 def read_tree_objects(spark: SparkSession, path: str, corpus: Column | None = None) -> DataFrame:
-    """Nodes of tree files of any depth: an object with ``structure`` or a plain list of roots, one file at a time.
+    """Nodes of tree files of any depth: an object with ``structure`` or a plain list of roots.
 
-    Fields may be missing or of another kind than usual; ``corpus`` defaults to
-    the folder of ``partitionBy``. The walk keeps a stack of its own, so depth
-    is bounded by the JSON parser only.
+    Fields may be missing or of another kind than usual, and may follow a node's
+    children; ``corpus`` defaults to the folder of ``partitionBy``. A file is
+    read in pieces and its roots one by one, so a task holds one root (an
+    article with all below it) and never a corpus. The walk keeps a stack of its
+    own, so depth is bounded by the JSON parser only.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, value in zip(batch.column(0), batch.column(1)):
-                data = json.loads(value.as_py())
-                roots = data.get("structure") or [] if isinstance(data, dict) else data
-                found = []
-                for row in _nodes_of(roots):
-                    found.append(row | {"corpus": name.as_py()})
-                    if len(found) == 1000:
-                        yield pa.RecordBatch.from_pylist(found, schema)
-                        found = []
-                if found:
+        lines = chain.from_iterable(zip(*(batch.column(i).to_pylist() for i in range(3))) for batch in batches)
+        for (name, _), of_file in groupby(lines, itemgetter(0, 1)):
+            pieces = chain([next(of_file)[2]], (OPENS + line[2] for line in of_file))
+            found = []
+            for row in _nodes_of(_roots_of(pieces)):
+                found.append(row | {"corpus": name})
+                if len(found) == 1000:
                     yield pa.RecordBatch.from_pylist(found, schema)
+                    found = []
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema)
 
     kinds = {"string": pa.string(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in f"corpus string, {_ROW}".split(", ")])
-    read = spark.read.text(path, wholetext=True)
-    return read.select((F.col("corpus") if corpus is None else corpus).alias("corpus"), "value").mapInArrow(rows, f"corpus string, {_ROW}")
+    lines = spark.read.text(path, lineSep=OPENS).select(
+        (F.col("corpus") if corpus is None else corpus).alias("corpus"), F.col("_metadata.file_path").alias("file"), "value",
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"),
+    )
+    in_order = lines.repartition("file").sortWithinPartitions("file", "start", "at")
+    return in_order.select("corpus", "file", "value").mapInArrow(rows, f"corpus string, {_ROW}")

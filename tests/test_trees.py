@@ -98,6 +98,49 @@ def test_reader_takes_odd_objects(spark, tmp_path):
         (1, 0, "5", None, "1"), (1, 1, None, None, "None"), (2, 0, "5", None, "None"), (3, 0, "5", "s", "x")]
 
 
+@pytest.mark.parametrize("read", [1, 7, 1 << 22])
+def test_roots_are_read_one_by_one(monkeypatch, read):
+    monkeypatch.setattr(D, "READ", read)
+    roots = [{"node_id": i, "text": 'a "{" b }' * i, "nodes": [{"title": "late", "nodes": [], "n": -1.5e3}], "source": " s "} for i in range(40)]
+    texts = [json.dumps(roots), json.dumps({"line_count": 12, "x": {"structure": [1]}, "structure": roots, "y": [1, 2]}, indent=1) + "\n"]
+    for text in texts:
+        for size in (1, 5, 1000):
+            assert [*D._roots_of(text[i : i + size] for i in range(0, len(text), size))] == roots
+    for text in ("{}", '{"structure": null}', "[]", ' {"a": 1, "structure" : [ ] } '):
+        assert [*D._roots_of([text])] == []
+    for text in ("", "3", "[{}", '{"structure": 5}', "[{}] 1", '{"structure": [{}], "structure": [{}]}', '{"a" 1}', "[{},]"):
+        with pytest.raises(ValueError):
+            [*D._roots_of([text])]
+
+
+def test_a_file_is_not_read_whole(monkeypatch):
+    monkeypatch.setattr(D, "READ", 100)
+    taken = []
+    pieces = ['{"structure": [{}', *[', {"text": "' + "x" * 50 + '"}'] * 1000, "]}"]
+    nodes = D._nodes_of(D._roots_of(taken.append(p) or p for p in pieces))
+    assert next(nodes)["path"] == [0] and len(taken) < 5
+    assert len([*nodes]) == 1000 and len(taken) == 1002
+
+
+def test_reader_puts_cut_files_in_order(spark, tmp_path):
+    def nested(n, i):
+        return {"title": f"t{i}" if i % 3 else None, "node_id": f"{n}.{i}", "text": "{}" * (i % 7) + "\n}{" + "é" * i, "nodes": [nested(n, j) for j in (i // 2, i // 3) if i > 2], "source": f"u{i}" if i % 2 else ""}
+
+    trees = {n: [nested(n, i) for i in range(n, 40)] for n in range(5)}
+    for n, roots in trees.items():
+        (tmp_path / f"{n}.json").write_text(json.dumps({"structure": roots, "n": n}, ensure_ascii=False, indent=n or None))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = D.read_tree_objects(spark, str(tmp_path), D.F.regexp_extract("_metadata.file_name", r"\d", 0)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    key = lambda r: (r["corpus"], r["path"])
+    want = [row | {"corpus": str(n)} for n, roots in trees.items() for row in D._nodes_of(roots)]
+    columns = ("corpus", "path", "node_id", "parent_id", "root_id", "root_ord", "depth", "title", "article_title", "text", "own_url", "source_url")
+    assert [[r[c] for c in columns] for r in sorted(got, key=key)] == [[r[c] for c in columns] for r in sorted(want, key=key)]
+
+
 def test_one_second_is_numbered_by_several_tasks(spark, uneven):
     rows = spark.range(20_000).selectExpr("'hot' as run", "timestamp'2024-01-01 00:00:00' as ts", "id", "id % 3 as clash").union(
         spark.range(10).selectExpr("'r' || id", "timestamp'2024-01-01 00:00:00'", "id", "id")
