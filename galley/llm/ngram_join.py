@@ -36,7 +36,8 @@ collisions (about one in 10^7 pairs of documents of a million words).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,8 @@ BROADCAST_IDS = 1_000_000
 SPARE, SPARE_OF = 3, 50
 #: Bits of a block key that travel; keys that agree in them by chance cost a comparison.
 KEY_BITS = 40
+#: Words of 64 bits in a sketch: sets of up to some thousand members are told apart by it.
+SKETCH_WORDS = 16
 #: Nodes a task remembers so as not to send their blocks again.
 REMEMBERED = 1_000_000
 
@@ -234,6 +237,13 @@ def node_of(grams: np.ndarray) -> int:
     return int(_mixed(total + np.uint64(len(grams))).view(np.int64)[0])
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the members by hash: two sets differ in at least as many members as their sketches do in bits."""
+    bits = 64 * SKETCH_WORDS
+    odd = np.bincount((_mixed(grams) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 ROW_SCHEMA = "doc_id bigint, node bigint, n_shingles bigint, keys array<bigint>, n_own int, least_own int, least_below int"
 
 
@@ -270,7 +280,7 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
 
 
 def gram_arrays(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, node, grams) of some documents."""
+    """(doc_id, node, grams, sketch) of some documents."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,12 +290,13 @@ def gram_arrays(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
                     batch.column(0),
                     pa.array([node_of(g) if len(g) else None for g in sets], pa.int64()),
                     pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64())),
+                    pa.array([sketch(g) for g in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "node", "grams"],
+                names=["doc_id", "node", "grams", "sketch"],
             )
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
-        rows, "doc_id bigint, node bigint, grams array<bigint>"
+        rows, "doc_id bigint, node bigint, grams array<bigint>, sketch array<bigint>"
     )
 
 
@@ -387,17 +398,21 @@ def _ranked(meetings: DataFrame) -> DataFrame:
     return meetings.join(central, "node").withColumns(placed).drop("weight")
 
 
-def _pairs(ranked: DataFrame, labels: DataFrame | None, pivots: int, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of a pivot and another member whose sizes allow a link and whose labels differ."""
+def _pairs(ranked: DataFrame, arrays: DataFrame, labels: DataFrame | None, pivots: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of a pivot and another member whose sizes and sketches allow a link and whose labels differ."""
     if labels is None and pivots == 1:  # the one pivot is in the row
         met = ranked.where("rank > 1").select(F.col("pivot").alias("a"), F.col("pivot_size").alias("na"), F.col("node").alias("b"), F.col("n_shingles").alias("nb"))
         return _allowed(met, percent)
-    placed = _labelled(ranked, labels)
+    placed = _labelled(ranked, labels).join(arrays.select("node", "sketch"), "node")
     first = placed.where(F.col("rank") <= pivots).select(
-        "key", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra")
+        "key", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra"),
+        F.col("sketch").alias("sa"),
     )
-    second = placed.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"), "rank")
-    return _allowed(first.join(second, "key").where("rank > ra and la <> lb"), percent)
+    second = placed.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"), "rank", F.col("sketch").alias("sb"))
+    met = first.join(second, "key").where("rank > ra and la <> lb")
+    # members that differ, at least: most that meet here are further apart than a link allows, and are no pair
+    differ = reduce(add, [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH_WORDS)])
+    return _allowed(met.where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)), percent)
 
 
 def _allowed(met: DataFrame, percent: int) -> DataFrame:
@@ -513,7 +528,7 @@ def _node_components(docs, rows, members, id_col, text_col, width, percent) -> D
 
 
 def sets_of(docs: DataFrame, sent: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, grams) of all nodes of ``members``, each from one of its documents in ``sent`` (doc_id, node)."""
+    """(node, grams, sketch) of all nodes of ``members``, each from one of its documents in ``sent`` (doc_id, node)."""
     met = members.select("node").distinct()
     wanted = sent.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut_lineage(wanted)
@@ -521,7 +536,7 @@ def sets_of(docs: DataFrame, sent: DataFrame, members: DataFrame, id_col: str, t
     some = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(
         ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
     )
-    arrays = gram_arrays(some, "doc_id", "text", width).join(met, "node", "left_semi").select("node", "grams")
+    arrays = gram_arrays(some, "doc_id", "text", width).join(met, "node", "left_semi").select("node", "grams", "sketch")
     return by_node(arrays)
 
 
@@ -548,7 +563,7 @@ def resolved(
     meetings, pivots = members.withColumn("scope", F.lit(0).cast("bigint")), 1
     while True:
         ranked = stored(_ranked(meetings))
-        pairs = _pairs(ranked, labels, pivots, percent)
+        pairs = _pairs(ranked, arrays, labels, pivots, percent)
         if compared is not None:  # pairs that meet again were no link before
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs)

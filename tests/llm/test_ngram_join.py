@@ -98,6 +98,31 @@ def test_group_whose_centre_is_not_linked_to_all(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_members_far_from_each_other_are_no_pairs(spark, monkeypatch):
+    # near a centre that links to few, each with edits of its own that it shares with some: no pair of them is a link
+    rnd = random.Random(5)
+    rows = [(0, " ".join(f"w{i}" for i in range(200)))]
+    for i in range(1, 120):
+        words = rows[0][1].split()
+        for k in range(8):
+            at = rnd.randrange(199)
+            words[at : at + 2] = [f"x{rnd.randrange(3)}_{at}", f"y{at}"]
+        rows.append((i, " ".join(words)))
+    counted, linked = [], J._linked
+    monkeypatch.setattr(J, "_linked", lambda pairs, *rest: counted.append(pairs.count()) or linked(pairs, *rest))
+    assert run(spark, rows) == brute(rows)
+    assert len(counted) > 1 and sum(counted[1:]) < 100
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(2)
+    for size, edits in [(0, 0), (1, 1), (5, 2), (300, 0), (300, 40), (300, 300), (20_000, 9000)]:
+        a = rng.integers(0, 1 << 64, size, np.uint64)
+        b = np.unique(np.concatenate([a[edits:], rng.integers(0, 1 << 64, edits, np.uint64)]))
+        bits = np.unpackbits((J.sketch(np.unique(a)) ^ J.sketch(b)).view(np.uint8)).sum()
+        assert bits <= len(np.setxor1d(a, b)) and len(J.sketch(b)) == J.SKETCH_WORDS and (bits > 0) == (edits > 0)
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_keys_lose_no_linked_pair(percent):
     rng = np.random.default_rng(0)
