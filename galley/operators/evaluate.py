@@ -302,7 +302,8 @@ def evaluate(drafts: DataFrame, replies: DataFrame | None = None, kpis: Sequence
     if replies is None:
         first = first.withColumn("judge_replies", F.lit(None).cast(REPLIES))
     else:
-        first = first.join(collect_replies(replies), "run_id", "left")
+        # a stored reply has a few bytes and a map of replies close to a thousand, so Spark would take them for small enough to broadcast
+        first = first.join(collect_replies(replies).hint("merge"), "run_id", "left")
     origin, strict = F.col("origin"), F.coalesce("strict_mode", F.lit(False))
     early = first.withColumn("early", gate(F.col("r1"), origin, strict))
     stopped = F.size("early") > 0

@@ -107,6 +107,16 @@ def test_gate_and_tiers(spark):
     assert evaluated(spark, barred=True).failed_blocking == ["approved_source_content_for_genai"]
 
 
+def test_judge_replies_are_not_broadcast(spark):
+    """The replies of a draft take some hundred times what their size in a file lets Spark expect."""
+    replies = spark.range(1, 3).selectExpr("int(id) as run_id", "'factuality' as rubric", "'none' as value", "'why' as reason", "0 as seq")
+    done = G.evaluate(draft(spark, "[9]"), replies)
+    for rows in (done, done.where("short_circuit").select("run_id", "results")):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert rows.count() == 1
+
+
 def test_strict_mode_blocks_at_least_as_much(spark):
     for kw in ({}, {"replies": GOOD}, {"replies": {**GOOD, "factuality": "few", "truthfullness": "many"}}, {"body": "[9]"}):
         soft, hard = evaluated(spark, **kw), evaluated(spark, strict=True, **kw)
