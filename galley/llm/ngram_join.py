@@ -11,6 +11,11 @@ in at least two blocks; all other pairs are below the bound and are discarded
 without being formed. Documents therefore meet only on equal block contents
 (about nine n-grams at once), never on a single common n-gram.
 
+Most block keys belong to one set and meet nothing. So keys go first without
+their sets, sorted in ranges, four bytes each at most; of those that come again
+a bitmap is broadcast, and only keys it has go with their sets. It may hold more
+than that, which costs rows and loses none.
+
 Overlap counts are accumulated exactly for the pairs that are left. To find
 components it is not needed to form all pairs of a group: its members are
 compared with a pivot, the most central of them. As long as the others are in
@@ -41,6 +46,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +67,12 @@ BROADCAST_IDS = 1_000_000
 SPARE, SPARE_OF = 3, 50
 #: Bits of a block key that travel; keys that agree in them by chance cost a comparison.
 KEY_BITS = 40
+#: Block keys a task holds before it sends them, and the power of two of their ranges at most.
+HELD_KEYS, MOST_RANGES = 1 << 21, 14
+#: Bits of the bitmap for each key that comes again, and the power of two of its bits at most (64 MB).
+BITS_OF_KEY, MOST_BITS = 16, 29
+#: Members, or pairs, that move with their sets at once, and the parts of a round at most: each reads the stored sets.
+PART_MEMBERS, PART_PAIRS, MOST_PARTS = 1 << 15, 1 << 17, 8
 #: Words of 64 bits in a sketch: sets of up to some thousand members are told apart by it.
 SKETCH_WORDS = 16
 #: Nodes a task remembers so as not to send their blocks again.
@@ -244,11 +256,134 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+class KeyBits:
+    """A bitmap of the keys, less their last ``dropped`` bits, that more than one set may have."""
+
+    def __init__(self, held: Broadcast, dropped: int) -> None:
+        self.held, self.dropped = held, dropped
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> self.dropped
+        return (np.frombuffer(self.held.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    def left(self, keys: np.ndarray, n_own: int, least_own: int, least_below: int) -> tuple:
+        """What ``_short_keys`` gave, less the keys nobody else has, and less a level with too few of them for a link."""
+        kept, lengths = [], []
+        for level, least in ((keys[:n_own], least_own), (keys[n_own:], least_below)):
+            some = level[self.has(level)]
+            kept.append(some if len(some) >= least else some[:0])
+            lengths.append(len(kept[-1]))
+        return (np.concatenate(kept), lengths[0], least_own, least_below) if sum(lengths) else (None,) * 4
+
+
+def _as_planes(keys: np.ndarray) -> bytes:
+    """Sorted numbers of four bytes, all first bytes together and so on: the high ones hardly vary, which compression sees."""
+    return keys.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _twice(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys, those that come more often only twice."""
+    return keys[np.concatenate([np.ones(min(2, len(keys)), bool), keys[2:] != keys[:-2]])]
+
+
+def _dealt_keys(docs: DataFrame, text_col: str, width: int, percent: int, ranges: int) -> DataFrame:
+    """(part, keys): the block keys of a task's sets in pieces, by their range, without their sets."""
+    shift, low, most = 64 - KEY_BITS, KEY_BITS - ranges, HELD_KEYS
+
+    def piece(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate(held)
+        keys.sort()
+        keys = _twice(keys)
+        at = np.searchsorted(keys, np.arange((1 << ranges) + 1, dtype=np.int64) << low)
+        parts = np.flatnonzero(at[1:] > at[:-1])
+        below = keys & ((1 << low) - 1)
+        planes = [_as_planes(below[at[p] : at[p + 1]]) for p in parts]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(planes, pa.binary())], names=["part", "keys"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        held, n = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                grams = gram_set(text.as_py(), width)
+                node = node_of(grams) if len(grams) else None
+                if node is None or node in sent:
+                    continue
+                if len(sent) < REMEMBERED:
+                    sent.add(node)
+                held.append(_short_keys(grams, percent, shift)[0])
+                n += len(held[-1])
+                if n >= most:
+                    yield piece(held)
+                    held, n = [], 0
+        if n:
+            yield piece(held)
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(rows, "part int, keys binary")
+
+
+def _repeated_keys(dealt: DataFrame) -> DataFrame:
+    """(part, n, keys) of the keys of a range that come more than once."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, planes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                pieces.setdefault(part, []).append(planes)
+        for part, planes in pieces.items():
+            keys = np.concatenate([_of_planes(p) for p in planes])
+            keys.sort()
+            again = np.unique(keys[1:][keys[1:] == keys[:-1]])
+            if len(again):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([len(again)], pa.int64()), pa.array([_as_planes(again)], pa.binary())],
+                    names=["part", "n", "keys"],
+                )
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "part").mapInArrow(rows, "part int, n bigint, keys binary")
+
+
+def shared_keys(docs: DataFrame, text_col: str, width: int, percent: int) -> KeyBits:
+    """The block keys that come more than once: those of several sets, and of copies that several tasks read."""
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the rest of a key has four bytes; a range has whole bytes of the bitmap
+    ranges = min(MOST_RANGES, KEY_BITS - 3, max(KEY_BITS - 32, tasks.bit_length()))
+    again = stored(_repeated_keys(_dealt_keys(docs, text_col, width, percent, ranges)))
+    n = again.agg(F.sum("n")).first()[0] or 0
+    power = min(MOST_BITS, KEY_BITS, max(ranges + 3, (n * BITS_OF_KEY).bit_length()))
+    low, size = KEY_BITS - power, 1 << (power - ranges)  # bits of the bitmap for a range
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for planes in batch.column(1).to_pylist():
+                bits = np.zeros(size, bool)
+                bits[_of_planes(planes) >> low] = True
+                packed.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["part", "bits"])
+
+    whole = bytearray(1 << (power - 3))
+    for part, bits in again.select("part", "keys").mapInArrow(slices, "part int, bits binary").collect():
+        whole[part * size // 8 : (part + 1) * size // 8] = bits
+    return KeyBits(spark.sparkContext.broadcast(whole), low)
+
+
 ROW_SCHEMA = "doc_id bigint, node bigint, n_shingles bigint, keys array<bigint>, n_own int, least_own int, least_below int"
 
 
-def incidence(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int | None) -> DataFrame:
-    """One row per document: its node, set size, and block keys unless its task sent them before (or ``percent`` is None)."""
+def incidence(
+    docs: DataFrame, id_col: str, text_col: str, width: int, percent: int | None, shared: KeyBits | None = None
+) -> DataFrame:
+    """One row per document: its node, set size, and block keys unless its task sent them before (or ``percent`` is None).
+
+    With ``shared``, only the keys it has, of levels in which a document has enough of them for a link.
+    """
 
     shift = 64 - KEY_BITS
 
@@ -264,7 +399,8 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
                     sent.add(node)
                 nodes.append(node)
                 sizes.append(len(grams))
-                keys.append(_short_keys(grams, percent, shift) if fresh else (None,) * 4)
+                short = _short_keys(grams, percent, shift) if fresh else (None,) * 4
+                keys.append(shared.left(*short) if fresh and shared else short)
             lists, *counts = zip(*keys) if keys else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [
@@ -481,6 +617,17 @@ def _next_meetings(open_rows: DataFrame, arrays: DataFrame, percent: int) -> Dat
     return placed.where("alone + place <= first").select("key", "scope", "node", "n_shingles")
 
 
+def _in_parts(rows: DataFrame, parts: int, *by: str) -> list[DataFrame]:
+    """``rows`` in so many parts, all rows that agree in ``by`` in one; shuffle files of a part go before the next."""
+    if parts == 1:
+        return [rows]
+    return [rows.where(F.pmod(F.xxhash64(*by), F.lit(parts)) == i) for i in range(parts)]
+
+
+def _parts(n: int, size: int, most: int) -> int:
+    return max(1, min(most, -(-n // size)))
+
+
 def similarity_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
@@ -490,7 +637,9 @@ def similarity_components(
     """
     with shuffles_removed(docs.sparkSession):
         # keys go from the texts to where they meet; sets are named once more rather than written with their keys
-        members = cut_lineage(_meetings(incidence(docs, id_col, text_col, width, percent)))
+        shared = shared_keys(docs, text_col, width, percent)
+        members = cut_lineage(_meetings(incidence(docs, id_col, text_col, width, percent, shared)))
+        shared.held.destroy()
         rows = cut_lineage(incidence(docs, id_col, text_col, width, None).select("doc_id", "node", "n_shingles"))
         labels = _node_components(docs, rows, members, id_col, text_col, width, percent)
         return named_components(rows, labels)
@@ -524,7 +673,7 @@ def _node_components(docs, rows, members, id_col, text_col, width, percent) -> D
     if members.isEmpty():
         return None
     sent = rows.where("node is not null").select("doc_id", "node")
-    return resolved(members, sets_of(docs, sent, members, id_col, text_col, width), percent)
+    return resolved(members, sets_of(docs, sent, members, id_col, text_col, width), percent, most_parts=MOST_PARTS)
 
 
 def sets_of(docs: DataFrame, sent: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -552,11 +701,13 @@ def by_node(rows: DataFrame) -> DataFrame:
 
 
 def resolved(
-    members: DataFrame, arrays: DataFrame, percent: int, likely: Callable[[DataFrame], DataFrame] | None = None
+    members: DataFrame, arrays: DataFrame, percent: int, likely: Callable[[DataFrame], DataFrame] | None = None,
+    most_parts: int = 1,
 ) -> DataFrame | None:
     """(node, label) of the components that links between members (key, node, n_shingles) of a key make.
 
-    ``likely`` may leave out pairs (a, b) that need no exact count.
+    ``likely`` may leave out pairs (a, b) that need no exact count. A round is made in up to ``most_parts``
+    parts, which keeps disk low if the shuffle files of each are removed (``shuffles_removed``).
     """
     labels: DataFrame | None = None
     compared: DataFrame | None = None
@@ -568,14 +719,19 @@ def resolved(
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         compared = pairs if compared is None else compared.union(pairs)
-        found = stored(_linked(likely(pairs) if likely else pairs, arrays, percent))
+        some = _in_parts(pairs, _parts(pairs.count(), PART_PAIRS, most_parts) if most_parts > 1 else 1, "a", "b")
+        found = reduce(DataFrame.union, [stored(_linked(likely(x) if likely else x, arrays, percent)) for x in some])
         if not found.isEmpty():
             labels = joined_components(labels, found)
         # the pivots have met all; the others of their groups may still link components
         open_rows = stored(_several_labels(ranked.where(F.col("rank") > pivots).drop("pivot_size"), labels))
         if open_rows.isEmpty():
             return labels
-        meetings = stored(_several_labels(_next_meetings(open_rows, arrays, percent).distinct(), labels))
+        n = open_rows.select("scope", "pivot", "node").distinct().count() if most_parts > 1 else 1
+        some = _in_parts(open_rows, _parts(n, PART_MEMBERS, most_parts), "scope", "pivot")
+        meetings = reduce(
+            DataFrame.union, [stored(_several_labels(_next_meetings(x, arrays, percent).distinct(), labels)) for x in some]
+        )
         if meetings.isEmpty():
             return labels
         pivots *= MORE_PIVOTS

@@ -238,3 +238,30 @@ def test_a_passage_in_common_makes_no_meeting(spark):
     assert J._meetings(rows).isEmpty()
     copies = docs.unionByName(docs.selectExpr("doc_id + 100 as doc_id", "text || ' end of it' as text"))
     assert J._meetings(J.incidence(copies, "doc_id", "text", 5, 80)).select("node").distinct().count() == 8
+
+
+def test_keys_that_no_other_set_has_do_not_travel(spark, monkeypatch):
+    rnd = random.Random(6)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = [(i, words(200)) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(2)]
+    sent, meetings = [], J._meetings
+    monkeypatch.setattr(J, "_meetings", lambda r: sent.extend(x.doc_id for x in r.where("keys is not null").collect()) or meetings(r))
+    assert run(spark, rows) == brute(rows)
+    assert {0, 1, 100, 101} <= set(sent) and len(sent) < 8
+
+
+def test_small_bitmaps_pieces_and_parts_lose_no_link(spark, monkeypatch):
+    """A bitmap of a few hundred bits has most keys, tasks send every few keys, and rounds are made in parts."""
+    for name, value in {"MOST_RANGES": 8, "MOST_BITS": 11, "HELD_KEYS": 50, "PART_MEMBERS": 2, "PART_PAIRS": 2, "MOST_PARTS": 3}.items():
+        monkeypatch.setattr(J, name, value)
+    rows = corpus(3)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_keys_in_planes():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000):
+        keys = np.sort(rng.integers(0, 1 << 32, n, np.uint64))
+        assert np.array_equal(J._of_planes(J._as_planes(keys)), keys)
+    assert J._twice(np.array([1, 1, 1, 2, 3, 3, 3, 3])).tolist() == [1, 1, 2, 3, 3]
